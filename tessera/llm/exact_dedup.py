@@ -136,7 +136,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     again = marked.join(shared.select("fast"), "fast", "left_semi")
     groups = again.groupBy(F.col("group_key").alias("g")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     again = again.join(groups, F.col("group_key") == F.col("g")).drop("g")
-    turn = F.row_number().over(Window.partitionBy("group_key", "doc_id").orderBy("text_sha256"))
+    turn = F.row_number().over(Window.partitionBy(F.struct("group_key", "doc_id")).orderBy("text_sha256"))
     again = again.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))
     alone = marked.join(shared.select("fast"), "fast", "left_anti").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     return again.unionByName(alone).drop("fast")
