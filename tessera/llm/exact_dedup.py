@@ -134,7 +134,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         marked = recipes.join(numbers, "text_sha256", "left").withColumn("group_key", F.concat_ws("/", "fast", "numbers"))
     marked = marked.select("doc_id", "text_sha256", "n_bytes", "fast", "group_key")
     again = marked.join(shared.select("fast"), "fast", "left_semi")
-    groups = again.groupBy(F.col("group_key").alias("g")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that both sides of the join are exchanges and a hot group's side of it can be split.
+    groups = materialize(again.groupBy(F.col("group_key").alias("g")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     again = again.join(groups, F.col("group_key") == F.col("g")).drop("g")
     turn = F.row_number().over(Window.partitionBy(F.struct("group_key", "doc_id")).orderBy("text_sha256"))
     again = again.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))

@@ -4,10 +4,15 @@ The suffixes that are sorted are sparse. In every string of ``length`` bytes the
 GRAM-byte grams is an anchor, so equal strings have anchors at equal places, and a string that repeats has an
 anchor whose gram repeats. Suffixes start at anchors with repeated grams, and carry what stands before them.
 
-Sampled splitters range-partition the suffixes by their leading GRAM bytes, so that suffixes which can be part of
-equal strings meet; those of one gram never straddle a boundary. Each bucket is sorted by multikey quicksort,
-forward from the anchors and backward from them, and runs of common prefixes in the two orders give the classes of
-equal strings for each place of the anchor.
+Sampled splitters range-partition the suffixes by their leading bytes, so that suffixes which can be part of equal
+strings meet: forward by all that strings starting near the anchor have after it, and backward by the gram and
+what strings starting far before it have there. Equal leads never straddle a boundary, so nothing has to be
+compared across one, and a short line that stands everywhere is told apart by what surrounds it. Each bucket is
+sorted by multikey quicksort, forward from the anchors and backward from them; runs of common prefixes in the two
+orders give the classes of equal strings for each place of the anchor.
+
+Suffixes that agree in over half of ``length`` bytes meet in one task: a passage that very many different texts
+have is that task's work, with under 300 bytes for each place (exact copies of a text count once).
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +30,7 @@ from tessera.llm import common as C
 from tessera.llm.common import U, materialize
 
 GRAM = 32
+KNOWN, WITNESS = 1, 2
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +62,27 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def _anchored(length: int):
-    """(gram, text's id, place) of each distinct text that a task sees."""
+    """(gram, text's id, place, kind) of each distinct text that a task sees.
+
+    A gram that the task itself has at several places is known to repeat: its places go straight on, dealt by a
+    hash of their own (KNOWN), and one of them stands for it among the others' (WITNESS). So a hot gram meets
+    in one task with at most one row from each.
+    """
+
+    def dealt(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        gram, tid, place = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(gram, kind="stable")
+        gram, tid, place = gram[order], tid[order], place[order]
+        same = np.concatenate([[False], gram[1:] == gram[:-1], [False]])
+        many = same[1:] | same[:-1]
+        witness = many & ~same[:-1]
+        key = np.concatenate([np.where(many, C.mix(tid.view(np.uint64) + C.mix(place.astype(np.uint64))), gram), gram[witness]])
+        kind = np.concatenate([np.where(many, KNOWN, 0), np.full(int(witness.sum()), WITNESS)]).astype(np.int32)
+        return pa.record_batch({"gram": pa.array(C.signed(key)), "tid": pa.array(np.concatenate([tid, tid[witness]])), "place": pa.array(np.concatenate([place, place[witness]])), "kind": pa.array(kind)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        rows, size = [], 0
         for part, data, offsets in C.text_blocks(batches):
             tid = np.asarray(part.column("tid"))
             place, gram = anchors(data, offsets, length)
@@ -69,7 +93,13 @@ def _anchored(length: int):
                     seen.add(t)
                     fresh[i] = True
             use = fresh[row]
-            yield pa.record_batch({"gram": pa.array(C.signed(gram[use])), "tid": pa.array(tid[row[use]]), "place": pa.array(place[use] - offsets[row[use]])})
+            rows.append((gram[use], tid[row[use]], place[use] - offsets[row[use]]))
+            size += int(use.sum())
+            if size > 1 << 21:
+                yield dealt(rows)
+                rows, size = [], 0
+        if size:
+            yield dealt(rows)
 
     return run
 
@@ -79,19 +109,30 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
     if not got:
         return
-    gram, tid, place = (np.concatenate(x) for x in zip(*got, strict=True))
+    gram, tid, place, kind = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
+    known = kind == KNOWN
+    yield pa.record_batch({"tid": pa.array(tid[known]), "place": pa.array(place[known])})
+    gram, tid, place, kind = gram[~known], tid[~known], place[~known], kind[~known]
     order = np.lexsort((place, tid, gram))
-    gram, tid, place = gram[order], tid[order], place[order]
-    once = np.concatenate([[True], (gram[1:] != gram[:-1]) | (tid[1:] != tid[:-1]) | (place[1:] != place[:-1])])
-    gram, tid, place = gram[once], tid[once], place[once]
-    same = np.concatenate([[False], gram[1:] == gram[:-1], [False]])
-    hit = same[1:] | same[:-1]
+    gram, tid, place, kind = gram[order], tid[order], place[order], kind[order]
+    new = np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)]
+    apart = np.concatenate([[True], (tid[1:] != tid[:-1]) | (place[1:] != place[:-1])])[: len(gram)] | new
+    group = np.cumsum(new) - 1
+    n = len(gram)
+    # A witness alone tells that its gram repeats; two tasks may have told of the same place.
+    weight = np.bincount(group, weights=apart + 2.0 * (kind == WITNESS)) if n else np.zeros(0)
+    hit = (weight[group] > 1) & (kind == 0) if n else np.zeros(0, dtype=bool)
     yield pa.record_batch({"tid": pa.array(tid[hit]), "place": pa.array(place[hit])})
 
 
 def _suffixes(length: int):
-    """(leading bytes, suffix of ``length`` bytes, bytes before it read backward, text's id, place) at each place."""
+    """(way, suffix, bytes before it read backward, text's id, place) at each place, for the two ways of sorting.
+
+    Strings that start up to half of what can stand before an anchor are found among suffixes sorted forward
+    (way 0), the others among those sorted backward (way 1); each way leads with what all its strings have.
+    """
+    half = (length - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,12 +141,12 @@ def _suffixes(length: int):
                 places = np.unique(np.asarray(batch.column("places")[i].values)).tolist()
                 for k in range(0, len(places), 20_000):
                     some = places[k : k + 20_000]
-                    after = [raw[p : p + length] for p in some]
-                    before = [raw[max(0, p - length + GRAM) : p][::-1] for p in some]
-                    yield pa.record_batch({
-                        "lead": pa.array([a[:GRAM] for a in after], pa.binary()), "after": pa.array(after, pa.binary()), "before": pa.array(before, pa.binary()),
-                        "tid": pa.array([tid] * len(some), pa.int64()), "place": pa.array(some, pa.int64()),
-                    })
+                    for way, after, before, least_after, least_before in ((0, length, half, length - half, 0), (1, length - half - 1, length - GRAM, GRAM, half + 1)):
+                        use = [p for p in some if len(raw) - p >= least_after and p >= least_before]
+                        yield pa.record_batch({
+                            "way": pa.array([way] * len(use), pa.int32()), "after": pa.array([raw[p : p + after] for p in use], pa.binary()),
+                            "before": pa.array([raw[max(0, p - before) : p][::-1] for p in use], pa.binary()), "tid": pa.array([tid] * len(use), pa.int64()), "place": pa.array(use, pa.int64()),
+                        })
 
     return run
 
@@ -137,8 +178,8 @@ def _ties(value: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 def _sorted_prefixes(strings: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings, and the common prefix of each with the one before it in that order."""
-    size = np.asarray(pa.compute.binary_length(strings)).astype(np.int64)
-    wide = -(-width // 8) * 8
+    size = np.asarray(pc.binary_length(strings)).astype(np.int64)
+    wide = max(8, -(-width // 8) * 8)
     table = np.zeros((len(size), wide), dtype=np.uint8)
     raw = np.frombuffer(b"".join(strings.to_pylist()), dtype=np.uint8)
     table[np.arange(wide) < size[:, None]] = raw
@@ -154,41 +195,49 @@ def _sorted_prefixes(strings: pa.Array, width: int) -> tuple[np.ndarray, np.ndar
 
 def _classes(length: int):
     """Of a bucket: spans (text's id, start, end) of bytes whose ``length``-byte strings repeat."""
+    half = (length - GRAM) // 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
-        rows = pa.Table.from_batches([b for b in batches if b.num_rows], None) if (batches := [b for b in batches if b.num_rows]) else None
-        if rows is None or len(rows) < 2:
-            return
-        rows = rows.combine_chunks()
-        tid, place = np.asarray(rows.column("tid").combine_chunks()), np.asarray(rows.column("place").combine_chunks())
+    def spans(rows: pa.Table, low: int, high: int) -> pa.RecordBatch | None:
+        """``low`` to ``high``: how many bytes before the anchor a string starts."""
+        tid, place = (np.asarray(rows.column(c).combine_chunks()) for c in ("tid", "place"))
         key = np.lexsort((place, tid))
         once = np.concatenate([[True], (tid[key][1:] != tid[key][:-1]) | (place[key][1:] != place[key][:-1])])
         rows = rows.take(pa.array(np.sort(key[once])))
-        tid, place = np.asarray(rows.column("tid").combine_chunks()), np.asarray(rows.column("place").combine_chunks())
+        n = len(rows)
+        if n < 2:
+            return None
+        tid, place = (np.asarray(rows.column(c).combine_chunks()) for c in ("tid", "place"))
         after, before = (rows.column(c).combine_chunks() for c in ("after", "before"))
-        n, deepest = len(rows), length - GRAM
-        fore, fore_common = _sorted_prefixes(after, length)
-        back, back_common = _sorted_prefixes(before, deepest)
-        ahead, behind = (np.asarray(pa.compute.binary_length(x)).astype(np.int64) for x in (after, before))
-        repeats = np.zeros((n, deepest + 2), dtype=np.int8)
+        fore, fore_common = _sorted_prefixes(after, length - low)
+        back, back_common = _sorted_prefixes(before, high)
+        ahead, behind = (np.asarray(pc.binary_length(x)).astype(np.int64) for x in (after, before))
+        repeats = np.zeros((n, high - low + 3), dtype=np.int8)
         right, left = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-        for d in range(deepest + 1):  # the string starts d bytes before the anchor
-            use = (behind >= d) & (ahead >= length - d)
+        for d in range(low, high + 1):
             right[fore] = np.cumsum(fore_common < length - d)
             left[back] = np.cumsum(back_common < d) if d else 0
-            at = np.flatnonzero(use)
+            at = np.flatnonzero((behind >= d) & (ahead >= length - d))
             if len(at) < 2:
                 continue
             both = right[at] * np.int64(n + 1) + left[at]
             order = np.argsort(both, kind="stable")
             same = np.concatenate([[False], both[order][1:] == both[order][:-1], [False]])
-            repeats[at[order[same[1:] | same[:-1]]], d + 1] = 1
-        edge = np.diff(np.concatenate([repeats, np.zeros((n, 1), dtype=np.int8)], axis=1), axis=1)
-        row, low = np.nonzero(edge == 1)
-        _, high = np.nonzero(edge == -1)  # runs of d: low to high - 1
-        yield pa.record_batch({"tid": pa.array(tid[row]), "start": pa.array(place[row] - (high - 1)), "end": pa.array(place[row] - low + length)})
+            repeats[at[order[same[1:] | same[:-1]]], d - low + 1] = 1
+        edge = np.diff(repeats, axis=1)
+        row, first = np.nonzero(edge == 1)
+        _, last = np.nonzero(edge == -1)  # runs of d: low + first to low + last - 1
+        return pa.record_batch({"tid": pa.array(tid[row]), "start": pa.array(place[row] - (low + last - 1)), "end": pa.array(place[row] - (low + first) + length)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        rows = pa.Table.from_batches(got)
+        way = np.asarray(rows.column("way").combine_chunks())
+        for w, low, high in ((0, 0, half), (1, half + 1, length - GRAM)):
+            some = rows.filter(pa.array(way == w))
+            if len(some) > 1 and (out := spans(some.combine_chunks(), low, high)) is not None:
+                yield out
 
     return run
 
@@ -238,13 +287,15 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tid"))
     rows = materialize(docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")), "texts")
     texts = rows.groupBy("tid").agg(F.min("doc_id").alias("some_id"), F.count(F.lit(1)).alias("copies"))
-    found = docs.select("tid", "text").mapInArrow(_anchored(length), "gram long, tid long, place long")
+    found = docs.select("tid", "text").mapInArrow(_anchored(length), "gram long, tid long, place long, kind int")
     found = found.repartition(parts, "gram").mapInArrow(_repeated, "tid long, place long")
     places = found.groupBy("tid").agg(F.collect_list("place").alias("places")).join(texts, "tid").select(F.col("tid").alias("p_tid"), "some_id", "places")
     held = docs.join(places, (F.col("tid") == F.col("p_tid")) & F.col("doc_id").eqNullSafe(F.col("some_id"))).select("tid", "text", "places")
     held = materialize(held, "held")
-    suffixes = held.mapInArrow(_suffixes(length), "lead binary, after binary, before binary, tid long, place long")
-    spans = suffixes.repartitionByRange(parts, "lead").mapInArrow(_classes(length), "tid long, start long, end long")
+    suffixes = held.mapInArrow(_suffixes(length), "way int, after binary, before binary, tid long, place long")
+    half = (length - GRAM) // 2
+    fore, back = F.substring("after", 1, length - half), F.concat(F.substring("after", 1, GRAM), F.substring("before", 1, half + 1))
+    spans = suffixes.repartitionByRange(parts, "way", F.when(F.col("way") == 0, fore).otherwise(back)).mapInArrow(_classes(length), "tid long, start long, end long")
     spans = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cuts = held.select("tid", "text").join(spans, "tid").mapInArrow(_cut, "tid long, cuts array<struct<start:long,end:long>>, removed long, sha string")
     cuts = cuts.dropDuplicates(["tid"])
