@@ -95,7 +95,7 @@ def _anchored(length: int):
             use = fresh[row]
             rows.append((gram[use], tid[row[use]], place[use] - offsets[row[use]]))
             size += int(use.sum())
-            if size > 1 << 21:
+            if size > 1 << 20:
                 yield dealt(rows)
                 rows, size = [], 0
         if size:
@@ -127,26 +127,47 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(length: int):
-    """(way, suffix, bytes before it read backward, text's id, place) at each place, for the two ways of sorting.
+    """(way, suffix, bytes before it read backward, text's id, place, none) at each place, for the two ways of sorting.
 
     Strings that start up to half of what can stand before an anchor are found among suffixes sorted forward
     (way 0), the others among those sorted backward (way 1); each way leads with what all its strings have.
     """
     half = (length - GRAM) // 2
+    #: (way, bytes after and before the anchor that are sent, least and most bytes before it where a string starts)
+    ways = ((0, length, half, 0, half), (1, length - half - 1, length - GRAM, half + 1, length - GRAM))
+
+    def dealt(some: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        known: dict[int, list[tuple[int, int]]] = {}
+        for way, after, before, low, high in ways:
+            alike: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+            for raw, tid, p in some:
+                if len(raw) - p >= length - high and p >= low:
+                    alike.setdefault((raw[p : p + after], raw[max(0, p - before) : p][::-1]), []).append((tid, p))
+            for (ahead, behind), places in alike.items():
+                rows.append((way, ahead, behind, *places[0], None))
+                first, last = max(low, length - len(ahead)), min(high, len(behind))
+                if len(places) > 1 and first <= last:  # what is alike here is known to repeat; one place stands for all
+                    for tid, p in places:
+                        known.setdefault(tid, []).append((p - last, p - first + length))
+        for tid, spans in known.items():
+            rows += [(2, (tid * 31 + s & 0xFFFFFFFF).to_bytes(4, "big"), b"", tid, s, e) for s, e in merged(spans)]
+        kinds = (("way", pa.int32()), ("after", pa.binary()), ("before", pa.binary()), ("tid", pa.int64()), ("place", pa.int64()), ("end", pa.int64()))
+        return pa.record_batch({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(kinds)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[tuple[bytes, int, int]] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, tid = batch.column("text")[i].as_buffer().to_pybytes(), batch.column("tid")[i].as_py()
                 places = np.unique(np.asarray(batch.column("places")[i].values)).tolist()
                 for k in range(0, len(places), 20_000):
-                    some = places[k : k + 20_000]
-                    for way, after, before, least_after, least_before in ((0, length, half, length - half, 0), (1, length - half - 1, length - GRAM, GRAM, half + 1)):
-                        use = [p for p in some if len(raw) - p >= least_after and p >= least_before]
-                        yield pa.record_batch({
-                            "way": pa.array([way] * len(use), pa.int32()), "after": pa.array([raw[p : p + after] for p in use], pa.binary()),
-                            "before": pa.array([raw[max(0, p - before) : p][::-1] for p in use], pa.binary()), "tid": pa.array([tid] * len(use), pa.int64()), "place": pa.array(use, pa.int64()),
-                        })
+                    some += [(raw, tid, p) for p in places[k : k + 20_000]]
+                    if len(some) >= 20_000:
+                        yield dealt(some)
+                        some = []
+        if some:
+            yield dealt(some)
 
     return run
 
@@ -234,6 +255,8 @@ def _classes(length: int):
             return
         rows = pa.Table.from_batches(got)
         way = np.asarray(rows.column("way").combine_chunks())
+        told = rows.filter(pa.array(way == 2)).combine_chunks()
+        yield pa.record_batch({"tid": told.column("tid").combine_chunks(), "start": told.column("place").combine_chunks(), "end": told.column("end").combine_chunks()})
         for w, low, high in ((0, 0, half), (1, half + 1, length - GRAM)):
             some = rows.filter(pa.array(way == w))
             if len(some) > 1 and (out := spans(some.combine_chunks(), low, high)) is not None:
@@ -292,10 +315,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     places = found.groupBy("tid").agg(F.collect_list("place").alias("places")).join(texts, "tid").select(F.col("tid").alias("p_tid"), "some_id", "places")
     held = docs.join(places, (F.col("tid") == F.col("p_tid")) & F.col("doc_id").eqNullSafe(F.col("some_id"))).select("tid", "text", "places")
     held = materialize(held, "held")
-    suffixes = held.mapInArrow(_suffixes(length), "way int, after binary, before binary, tid long, place long")
+    suffixes = held.mapInArrow(_suffixes(length), "way int, after binary, before binary, tid long, place long, end long")
     half = (length - GRAM) // 2
     fore, back = F.substring("after", 1, length - half), F.concat(F.substring("after", 1, GRAM), F.substring("before", 1, half + 1))
-    spans = suffixes.repartitionByRange(parts, "way", F.when(F.col("way") == 0, fore).otherwise(back)).mapInArrow(_classes(length), "tid long, start long, end long")
+    spans = suffixes.repartitionByRange(2 * parts, "way", F.when(F.col("way") == 1, back).otherwise(fore)).mapInArrow(_classes(length), "tid long, start long, end long")
     spans = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cuts = held.select("tid", "text").join(spans, "tid").mapInArrow(_cut, "tid long, cuts array<struct<start:long,end:long>>, removed long, sha string")
     cuts = cuts.dropDuplicates(["tid"])
