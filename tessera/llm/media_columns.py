@@ -168,7 +168,8 @@ def document_media(docs: DataFrame) -> DataFrame:
     rows stay repeated; a null doc_id stays null. Empty table: empty result. Other columns are ignored.
     """
     store = store_payloads(docs)
-    features = store.mapInArrow(_featured, f"digest string, {_FEATURES}").dropDuplicates(["digest"])
+    # Written, so that the join below has two exchanges and the copies of a hot text can be split.
+    features = materialize(store.mapInArrow(_featured, f"digest string, {_FEATURES}").dropDuplicates(["digest"]), "features")
     text = C.text_column(docs)
     size = F.octet_length(text).cast("long")
     page = F.concat(F.lit('<article><p>Samples of a document.</p><figure><img src="sha256:'), F.sha2(text.cast("binary"), 256), F.lit('" alt="samples"><figcaption>'), size.cast("string"), F.lit(" bytes</figcaption></figure></article>"))

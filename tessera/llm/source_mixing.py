@@ -23,7 +23,8 @@ RUN_ROWS = 2000
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    """Words ``[^\\x20\\x09-\\x0D]+``; written as positive ranges, which are matched much faster."""
+    return F.regexp_count(text, F.lit(r"[\x21-\x{10FFFF}\x00-\x08\x0E-\x1F]+")).cast("long")
 
 
 def fair_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, most: float) -> dict[str | None, float]:
