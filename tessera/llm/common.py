@@ -205,6 +205,10 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bi
     return both >> bits, both & ((1 << bits) - 1)
 
 
+#: Groups of a sample whose shares are broadcast.
+FEW = 1000
+
+
 def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id", group: str | None = None) -> DataFrame:
     """About ``most`` rows at most (of each group), chosen by a hash of ``key``; all rows if there are no more."""
     million = 1_000_000
@@ -213,4 +217,8 @@ def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id", group: str |
         n = rows.count()
         return rows if n <= most else rows.where(chance < int(million * most / n))
     counts = rows.groupBy(F.col(group).alias("sample_group")).agg((F.lit(million * most) / F.count(F.lit(1))).alias("sample_part"))
+    parts = counts.limit(FEW + 1).collect()
+    if len(parts) <= FEW:  # few groups: their parts travel with the plan
+        rows = rows.where(chance < max([r["sample_part"] for r in parts], default=0.0))
+        counts = F.broadcast(rows.sparkSession.createDataFrame(parts, counts.schema))
     return rows.join(counts, rows[group] == counts["sample_group"]).where(chance < F.col("sample_part")).drop("sample_group", "sample_part")

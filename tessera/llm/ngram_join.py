@@ -8,7 +8,8 @@ Hash-uniform points of documents of one size lie close together, so the boxes ne
 all documents overlap and prune nothing. The upper levels are therefore replaced by an exact directory: with at
 most k differing shingles and m > k blocks, a linked pair has a block of shingles in common as a whole. Each
 directory entry (size band, block, sum of the hashes in it) leads to a small R-tree over the points filed there.
-Pairs that survive the bound are verified on the shingle sets themselves.
+Pairs that survive are bounded again by fine points, of about half as many coordinates as a set has shingles,
+and what is left is verified on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from tessera.llm.common import U, materialize
 from tessera.llm.graph import components
 
 #: Coordinates of a point; points in a leaf or children of a node; points of an entry that one task handles.
-GROUPS, FANOUT, TILE = 64, 16, 1024
+GROUPS, FANOUT, TILE = 256, 16, 1024
 
 
 class Limits:
@@ -58,15 +59,51 @@ def _points(words: int):
             row, value = C.shingle_sets(data, offsets, words)
             n = np.bincount(row, minlength=rows)
             digest = C.mix(C.sums_by(row, C.mix(value, 1), rows) + n.astype(np.uint64), 2)
-            point = np.bincount(row * GROUPS + (C.mix(value, 3) & U(GROUPS - 1)).astype(np.int64), minlength=rows * GROUPS).astype("<i4")
+            place = C.mix(value, 3)
+            point = np.bincount(row * GROUPS + (place & U(GROUPS - 1)).astype(np.int64), minlength=rows * GROUPS)
+            wide = fine_groups(n)
+            base = np.cumsum(wide) - wide
+            fine = np.bincount(base[row] + (place & (wide[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(wide.sum()))
             yield pa.record_batch({
                 "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(C.signed(digest), pa.int64(), mask=n == 0),
-                "point": pa.array([p.tobytes() for p in point.reshape(rows, GROUPS)], pa.binary()),
+                "point": _binary(_bytes(point), np.full(rows, GROUPS)), "fine": _binary(_bytes(fine), wide),
             })
 
     return run
 
 
+def fine_groups(n: np.ndarray) -> np.ndarray:
+    """Coordinates of a set's fine point: a power of 2, about half its size. A fine point folds to any smaller one."""
+    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), 8, 13).astype(np.int64))
+
+
+def _bytes(counts: np.ndarray) -> np.ndarray:
+    """Counts over 255 are kept as 255; what a set has beyond is its size less the sum of its coordinates."""
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(counts * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _finer(num: int, den: int):
+    """Pairs that survive the bound of their fine points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits = Limits(num, den)
+        for batch in batches:
+            size = [np.asarray(batch.column(c)) for c in ("n_a", "n_b")]
+            need, keep = limits.need(*size), np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint8).astype(np.int64) for c in ("a", "b"))
+                least, beyond = min(len(a), len(b)), min(size[0][i] - a.sum(), size[1][i] - b.sum())
+                keep[i] = np.minimum(a.reshape(-1, least).sum(axis=0), b.reshape(-1, least).sum(axis=0)).sum() + beyond >= need[i]
+            yield batch.filter(pa.array(keep)).select(["u", "v"])
+
+    return run
+
+
 def _digests(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.bincount(row, minlength=rows)
     return n, C.signed(C.mix(C.sums_by(row, C.mix(value, 1), rows) + n.astype(np.uint64), 2))
@@ -144,11 +181,11 @@ class RTree:
             step = max(FANOUT, slab // FANOUT**depth)
             order = np.concatenate([run[np.argsort(points[run, axis], kind="stable")] for run in (order[i : i + step] for i in range(0, n, step))])
         self.order = order
-        self.levels = [(points[order], sizes[order])]
+        self.levels = [(points[order], sizes[order], (sizes - points.sum(axis=1, dtype=np.int64))[order])]
         while len(self.levels[-1][0]) > FANOUT:
-            top, low = self.levels[-1]
+            top, low, beyond = self.levels[-1]
             cut = np.arange(0, len(top), FANOUT)
-            self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut)))
+            self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(beyond, cut)))
 
     def join(self, limits: Limits, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of points (i < j in tree order) whose summed minima reach the overlap that a link needs."""
@@ -156,11 +193,11 @@ class RTree:
         n = len(self.levels[depth][0])
         a, b = np.triu_indices(n)
         while True:
-            top, low = self.levels[depth]
+            top, low, beyond = self.levels[depth]
             keep = np.zeros(len(a), dtype=bool)
             for i in range(0, len(a), chunk):
                 x, y = a[i : i + chunk], b[i : i + chunk]
-                keep[i : i + chunk] = np.minimum(top[x], top[y]).sum(axis=1) >= limits.need(low[x], low[y])
+                keep[i : i + chunk] = np.minimum(top[x], top[y]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[x], beyond[y]) >= limits.need(low[x], low[y])
             a, b = a[keep], b[keep]
             if depth == 0:
                 apart = a < b
@@ -203,9 +240,10 @@ def _candidates(num: int, den: int, spanning: bool):
             digest, size, side, label = (np.asarray(rows.column(c).combine_chunks()) for c in ("digest", "n", "side", "label"))
             if label.min() == label.max():
                 return None
-            points = np.frombuffer(b"".join(rows.column("point").to_pylist()), dtype="<i4").reshape(len(size), GROUPS)
+            points = np.frombuffer(b"".join(rows.column("point").to_pylist()), dtype=np.uint8).reshape(len(size), GROUPS)
             if len(size) == 2:
-                hit = np.minimum(points[0], points[1]).sum() >= limits.need(size[0], size[1])
+                beyond = (size - points.sum(axis=1, dtype=np.int64)).min()
+                hit = np.minimum(points[0], points[1]).sum(dtype=np.int64) + beyond >= limits.need(size[0], size[1])
                 a, b = (np.array([0]), np.array([1])) if hit else (np.zeros(0, int), np.zeros(0, int))
             else:
                 a, b = RTree(points, size).join(limits)
@@ -213,7 +251,9 @@ def _candidates(num: int, den: int, spanning: bool):
             crosses = (side[a] != side[b]) if len(np.unique(side)) > 1 else np.ones(len(a), dtype=bool)
             ok = (label[a] != label[b]) & crosses if tile else label[a] != label[b]
             a, b = a[ok], b[ok]
-            if spanning and len(a):
+            if spanning and len(a):  # links by smallest digest first, so entries with the same sets choose the same
+                order = np.lexsort((np.maximum(digest[a], digest[b]), np.minimum(digest[a], digest[b])))
+                a, b = a[order], b[order]
                 ok = _forest(a, b, len(size))
                 a, b = a[ok], b[ok]
             out = [p for p in zip(np.minimum(digest[a], digest[b]).tolist(), np.maximum(digest[a], digest[b]).tolist(), strict=True) if p not in told]
@@ -277,7 +317,7 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> D
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    points = materialize(docs.mapInArrow(_points(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest long, point binary"), "points")
+    points = materialize(docs.mapInArrow(_points(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest long, point binary, fine binary"), "points")
     firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     entries = docs.select("doc_id", "text").mapInArrow(_entries(words, num, den), "key long, digest long")
     entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(_shared, "key long, tile int, side int, digest long")
@@ -296,7 +336,13 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> D
         rows = rows.select("key", "tile", "side", "digest", "n", "point", "label")
         rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "tile").sortWithinPartitions("key", "tile")
         pairs = rows.mapInArrow(_candidates(num, den, labels is None), "u long, v long").distinct()
-        return materialize(_verified(materialize(pairs, "pairs"), docs, firsts.select("digest", "doc_id"), words, num, den), "linked")
+        pairs = materialize(pairs, "pairs")
+        fine = points.join(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), "digest", "left_semi")
+        fine = materialize(fine.groupBy("digest").agg(F.min("n").alias("n"), F.min("fine").alias("fine")), "fine")
+        pairs = pairs.join(fine.select(F.col("digest").alias("u"), F.col("n").alias("n_a"), F.col("fine").alias("a")), "u")
+        pairs = pairs.join(fine.select(F.col("digest").alias("v"), F.col("n").alias("n_b"), F.col("fine").alias("b")), "v")
+        pairs = materialize(pairs.mapInArrow(_finer(num, den), "u long, v long"), "pairs")
+        return materialize(_verified(pairs, docs, firsts.select("digest", "doc_id"), words, num, den), "linked")
 
     links = found(None)
     labels = materialize(components(links), "labels")
