@@ -27,6 +27,8 @@ from tessera.llm.graph import components
 
 #: Coordinates of a point; points in a leaf or children of a node; points of an entry that one task handles.
 GROUPS, FANOUT, TILE = 256, 16, 1024
+#: Sets in an entry above which it is common, and below which its pairs are bounded without a tree.
+COMMON, FEW = 32, 32
 
 
 class Limits:
@@ -39,7 +41,7 @@ class Limits:
             edges.append(max(edges[-1] + 1, int(edges[-1] * ratio)))
         self.num, self.den, self.edges = num, den, np.array(edges, dtype=np.int64)
         most = 2 * (self.edges[1:] - 1) * (den - num) // (den + num)  # differing shingles of a linked pair
-        self.slack = np.where(most > 0, 1 + most // 32, 0)
+        self.slack = np.where(most > 0, 1 + most // 8, 0)
         self.blocks = np.where(most > 0, most + 1 + self.slack, 0)
 
     def bands(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +112,12 @@ def _digests(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 
 def _entries(words: int, num: int, den: int):
-    """Directory entries of each distinct set that a task sees: (key, digest)."""
+    """Directory entries of each distinct set that a task sees: (key, digest, spare).
+
+    A linked pair has more equal blocks than the slack. So a set need not be filed under its empty or common
+    blocks while they are no more than that; ``spare``: how many common ones it may leave out (times 2, plus 1 in
+    the band of its larger partners; negative: none).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits, seen = Limits(num, den), set()
@@ -139,33 +146,42 @@ def _entries(words: int, num: int, den: int):
                 key = C.mix(C.sums_by(at, C.mix(v, 6), total) + (np.arange(total) - base[owner]).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F) + band[owner].astype(np.uint64) * U(0x165667B19E3779F9))
                 hollow = np.bincount(owner, weights=filled == 0, minlength=rows)
                 emit = (filled > 0) | (hollow > limits.slack[band])[owner]  # an empty block counts only where many are empty
-                yield pa.record_batch({"key": pa.array(C.signed(key[emit]), pa.int64()), "digest": pa.array(digest[owner[emit]], pa.int64())})
+                spare = np.clip(limits.slack[band] - hollow, -1, 1 << 20).astype(np.int32) * 2 + more
+                yield pa.record_batch({"key": pa.array(C.signed(key[emit]), pa.int64()), "digest": pa.array(digest[owner[emit]], pa.int64()), "spare": pa.array(spare[owner[emit]], pa.int32())})
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition by key: the entries that hold two sets or more, dealt out in tiles if they hold many."""
-    got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+    got = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
     if not got:
         return
-    key, digest = (np.concatenate(x) for x in zip(*got, strict=True))
+    key, digest, spare = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
     order = np.lexsort((digest, key))
-    key, digest = key[order], digest[order]
+    key, digest, spare = key[order], digest[order], spare[order]
     once = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
-    key, digest = key[once], digest[once]
+    key, digest, spare = key[once], digest[once], spare[once]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(first, len(key)))
-    tiles = np.repeat(-(-count // TILE), count)
-    shared = np.repeat(count, count) > 1
-    plain = shared & (tiles == 1)
-    none = np.zeros(int(plain.sum()), dtype=np.int32)
-    yield pa.record_batch({"key": pa.array(key[plain]), "tile": pa.array(none), "side": pa.array(none), "digest": pa.array(digest[plain])})
+    count = np.repeat(count, count)
+    tiles, shared, common = -(-count // TILE), count > 1, count > COMMON
+
+    def rows(at: np.ndarray, tile: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({
+            "key": pa.array(key[at]), "tile": pa.array(tile.astype(np.int32)), "side": pa.array(side.astype(np.int32)),
+            "digest": pa.array(digest[at]), "spare": pa.array(spare[at]), "common": pa.array(common[at]),
+        })
+
+    plain = np.flatnonzero(shared & (tiles == 1))
+    for i in range(0, len(plain), 1 << 16):
+        at = plain[i : i + (1 << 16)]
+        yield rows(at, np.zeros(len(at)), np.zeros(len(at)))
     for i in np.flatnonzero(shared & (tiles > 1)):  # each pair of tiles of an entry is a task's work of its own
-        t, own = int(tiles[i]), int(np.uint64(np.int64(digest[i]).view(np.uint64)) % U(tiles[i]))
-        pair = np.array([min(own, o) * t + max(own, o) for o in range(t)], dtype=np.int32)
-        yield pa.record_batch({"key": pa.array(np.full(t, key[i])), "tile": pa.array(pair), "side": pa.array(np.full(t, own, dtype=np.int32)), "digest": pa.array(np.full(t, digest[i]))})
+        t = int(tiles[i])
+        own = int(digest[i]) % t
+        yield rows(np.full(t, i), np.array([1 + min(own, o) * t + max(own, o) for o in range(t)]), np.full(t, own))
 
 
 class RTree:
@@ -234,32 +250,43 @@ def _candidates(num: int, den: int, spanning: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = Limits(num, den)
-        told: set[tuple[int, int]] = set()
-
-        def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-            digest, size, side, label = (np.asarray(rows.column(c).combine_chunks()) for c in ("digest", "n", "side", "label"))
-            if label.min() == label.max():
-                return None
-            points = np.frombuffer(b"".join(rows.column("point").to_pylist()), dtype=np.uint8).reshape(len(size), GROUPS)
-            if len(size) == 2:
-                beyond = (size - points.sum(axis=1, dtype=np.int64)).min()
-                hit = np.minimum(points[0], points[1]).sum(dtype=np.int64) + beyond >= limits.need(size[0], size[1])
-                a, b = (np.array([0]), np.array([1])) if hit else (np.zeros(0, int), np.zeros(0, int))
-            else:
-                a, b = RTree(points, size).join(limits)
-            tile = int(rows.column("tile")[0].as_py())
-            crosses = (side[a] != side[b]) if len(np.unique(side)) > 1 else np.ones(len(a), dtype=bool)
-            ok = (label[a] != label[b]) & crosses if tile else label[a] != label[b]
+
+        def pairs(rows: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+            """``cut``: where the entries begin, and the end."""
+            digest, size, side, label, tile = (np.asarray(rows.column(c).combine_chunks()) for c in ("digest", "n", "side", "label", "tile"))
+            raw = rows.column("point").combine_chunks()
+            points = np.frombuffer(raw.buffers()[2], dtype=np.uint8)
+            points = points[int(np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset]) :][: len(raw) * GROUPS].reshape(-1, GROUPS)
+            beyond = size - points.sum(axis=1, dtype=np.int64)
+            width = np.diff(cut)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for g in np.unique(width[(width > 1) & (width <= FEW)]).tolist():  # entries of one width together
+                first = cut[:-1][width == g]
+                i, j = np.triu_indices(g, 1)
+                x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                apart = label[x] != label[y]
+                x, y = x[apart], y[apart]
+                for k in range(0, len(x), 1 << 13):
+                    p, q = x[k : k + (1 << 13)], y[k : k + (1 << 13)]
+                    ok = np.minimum(points[p], points[q]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[p], beyond[q]) >= limits.need(size[p], size[q])
+                    found.append((p[ok], q[ok]))
+            for start, end in zip(cut[:-1][width > FEW].tolist(), cut[1:][width > FEW].tolist(), strict=True):
+                if label[start:end].min() != label[start:end].max():
+                    x, y = RTree(points[start:end], size[start:end]).join(limits)
+                    found.append((x + start, y + start))
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            # In a tile of two sides only pairs across them are this task's, unless the sides are one and the same.
+            ok = (label[a] != label[b]) & ((tile[a] == 0) | (side[a] != side[b]) | _same_side(tile, side, cut)[a])
             a, b = a[ok], b[ok]
+            low, high = np.minimum(digest[a], digest[b]), np.maximum(digest[a], digest[b])
             if spanning and len(a):  # links by smallest digest first, so entries with the same sets choose the same
-                order = np.lexsort((np.maximum(digest[a], digest[b]), np.minimum(digest[a], digest[b])))
-                a, b = a[order], b[order]
-                ok = _forest(a, b, len(size))
-                a, b = a[ok], b[ok]
-            out = [p for p in zip(np.minimum(digest[a], digest[b]).tolist(), np.maximum(digest[a], digest[b]).tolist(), strict=True) if p not in told]
-            if len(told) < 1 << 20:  # only saves rows before the distinct that follows
-                told.update(out)
-            return pa.record_batch({"u": pa.array([p[0] for p in out], pa.int64()), "v": pa.array([p[1] for p in out], pa.int64())}) if out else None
+                order = np.lexsort((high, low))
+                order = order[_forest(a[order], b[order], len(digest))]
+                low, high = low[order], high[order]
+            order = np.lexsort((high, low))
+            low, high = low[order], high[order]
+            new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)]
+            return pa.record_batch({"u": pa.array(low[new], pa.int64()), "v": pa.array(high[new], pa.int64())})
 
         rest: pa.Table | None = None
         for batch in batches:
@@ -268,16 +295,23 @@ def _candidates(num: int, den: int, spanning: bool):
                 continue
             key, tile = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "tile"))
             cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1])
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if j - i > 1 and (out := pairs(table.slice(i, j - i))) is not None:
-                    yield out
-            rest = table.slice(cut[-1])
-        if rest is not None and len(rest) > 1 and (out := pairs(rest)) is not None:
-            yield out
+            if len(cut) > 1:
+                yield pairs(table.slice(0, int(cut[-1])), cut)
+            rest = table.slice(int(cut[-1]))
+        if rest is not None and len(rest) > 1:
+            yield pairs(rest, np.array([0, len(rest)]))
 
     return run
 
 
+def _same_side(tile: np.ndarray, side: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """For each row, whether its entry's rows are all of one side."""
+    if len(cut) < 2:
+        return np.zeros(len(tile), dtype=bool)
+    alike = np.maximum.reduceat(side, cut[:-1]) == np.minimum.reduceat(side, cut[:-1])
+    return np.repeat(alike, np.diff(cut))
+
+
 def _sets(words: int):
     """Shingle sets of the rows whose set is the wanted one."""
 
@@ -319,9 +353,16 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> D
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     points = materialize(docs.mapInArrow(_points(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest long, point binary, fine binary"), "points")
     firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    entries = docs.select("doc_id", "text").mapInArrow(_entries(words, num, den), "key long, digest long")
-    entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(_shared, "key long, tile int, side int, digest long")
+    entries = docs.select("doc_id", "text").mapInArrow(_entries(words, num, den), "key long, digest long, spare int")
+    entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(_shared, "key long, tile int, side int, digest long, spare int, common boolean")
     entries = materialize(entries, "entries")
+    filed = ["key", "tile", "side", "digest"]
+    common = entries.where("common")
+    # Sets with more common blocks than they may leave out stay filed under them.
+    full = common.groupBy("digest", F.col("spare").bitwiseAND(1).alias("more")).agg(F.countDistinct("key").alias("keys"), F.min("spare").alias("least"))
+    full = full.where(F.col("keys") > F.shiftright("least", 1)).select("digest", "more")
+    common = common.withColumn("more", F.col("spare").bitwiseAND(1)).join(full, ["digest", "more"], "left_semi")
+    entries = materialize(entries.where("not common").select(filed).unionByName(common.select(filed)), "filed")
     known = points.where("digest is not null").groupBy("digest").agg(F.min("n").alias("n"), F.min("point").alias("point"))
     known = known.join(entries.select("digest").distinct(), "digest", "left_semi")
     known = materialize(known, "known")
