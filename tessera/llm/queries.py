@@ -68,13 +68,13 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), shingles AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
 ), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM shingles
 ), items AS (SELECT doc_id, unnest(s) AS x FROM shingles
-), overlaps AS (
+), common AS (
   SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT u, v FROM overlaps JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * i >= 90 * (p.n + q.n - i)
+  SELECT u, v FROM common JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * i >= 90 * (p.n + q.n - i)
 ), ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, w.v FROM reach r JOIN ways w ON r.b = w.u)
 SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY 1, 2
