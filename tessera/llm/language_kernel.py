@@ -59,7 +59,8 @@ def train_languages(docs: DataFrame, sample: int = SAMPLE) -> bytes:
     """Fit on about ``sample`` texts at most of each lang, of rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")) & ~C.held_out())
     rows = C.bounded_sample(rows.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), sample, "id", "lang")
-    return bytes(rows.repartition(1).mapInArrow(_fitted, "model binary").first()["model"])
+    found = rows.repartition(1).mapInArrow(_fitted, "model binary").first()
+    return bytes(found["model"]) if found else pickle.dumps(fit(np.zeros((0, 1 << BITS), np.float32), []))
 
 
 def has_letter(text: Column) -> Column:

@@ -66,7 +66,7 @@ def word_frequencies(docs: DataFrame, words: list[str], text: str = "text") -> d
 
 
 def _at(words: Column, start: Column, given: list[str]) -> list[Column]:
-    return [F.coalesce(F.try_element_at(words, start + (i + 1)) == given[i], F.lit(False)) for i in range(len(given))]
+    return [F.coalesce(F.get(words, start + i) == given[i], F.lit(False)) for i in range(len(given))]
 
 
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, least: float = 0.8, anchors: int = 2) -> DataFrame:

@@ -94,7 +94,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> b
     rows = docs.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     grams = rows.mapInArrow(_features, f"doc_id {kind}, y int, grams array<int>")
-    return bytes(grams.repartition(1).mapInArrow(_train, "model binary").first()["model"])
+    found = grams.repartition(1).mapInArrow(_train, "model binary").first()
+    return bytes(found["model"]) if found else fit([], np.zeros(0), 1 << BITS).astype("<f4").tobytes()
 
 
 def _score(model):
