@@ -251,7 +251,12 @@ def _dims(spark, sf_dir, n):
 
 
 _E = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings)"
-_QUAD = [(F.col(f"e{2 * i}"), F.col(f"e{2 * i + 1}")) for i in range(4)]
+
+
+def _quad():
+    return [(F.col(f"e{2 * i}"), F.col(f"e{2 * i + 1}")) for i in range(4)]
+
+
 _TURNS = [f"((e{2 * ((i + 1) % 4)} - e{2 * i}) * (e{2 * ((i + 2) % 4) + 1} - e{2 * ((i + 1) % 4) + 1}) - (e{2 * ((i + 1) % 4) + 1} - e{2 * i + 1}) * (e{2 * ((i + 2) % 4)} - e{2 * ((i + 1) % 4)}))" for i in range(4)]
 
 
@@ -267,7 +272,7 @@ def label_quality_rates(spark, sf_dir):
 @query(f"""SELECT vec_id, round(abs({' + '.join(f'(e{2 * i} * e{2 * ((i + 1) % 4) + 1} - e{2 * ((i + 1) % 4)} * e{2 * i + 1})' for i in range(4))}) / 2, 6) AS area,
  (least({', '.join(_TURNS)}) >= 0 AND greatest({', '.join(_TURNS)}) > 0) OR (greatest({', '.join(_TURNS)}) <= 0 AND least({', '.join(_TURNS)}) < 0) AS simple FROM {_E}""")
 def quad_validate(spark, sf_dir):
-    return _dims(spark, sf_dir, 8).select("vec_id", F.round(G.quad_area(_QUAD), 6).alias("area"), G.is_simple_quad(_QUAD).alias("simple"))
+    return _dims(spark, sf_dir, 8).select("vec_id", F.round(G.quad_area(_quad()), 6).alias("area"), G.is_simple_quad(_quad()).alias("simple"))
 
 
 _EDGES = ", ".join(f"{{'l': sqrt((e{2 * ((i + 1) % 4)} - e{2 * i}) ** 2 + (e{2 * ((i + 1) % 4) + 1} - e{2 * i + 1}) ** 2), 'i': {-i}, 'a': degrees(atan2(e{2 * ((i + 1) % 4) + 1} - e{2 * i + 1}, e{2 * ((i + 1) % 4)} - e{2 * i}))}}" for i in range(4))
@@ -276,7 +281,7 @@ _EDGES = ", ".join(f"{{'l': sqrt((e{2 * ((i + 1) % 4)} - e{2 * i}) ** 2 + (e{2 *
 @query(f"""WITH a AS (SELECT list_max([{_EDGES}]).a AS a FROM {_E}), b AS (SELECT CASE WHEN a >= 90 THEN a - 180 WHEN a < -90 THEN a + 180 ELSE a END AS a FROM a)
 SELECT CAST(least(floor((a + 90) / 15), 11) AS INT) AS bin, count(*) AS n, count(*) FILTER (abs(a) < 3 OR abs(abs(a) - 90) < 3) AS aligned FROM b GROUP BY 1""")
 def angle_histogram(spark, sf_dir):
-    rows = _dims(spark, sf_dir, 8).select(G.long_edge_angle(_QUAD).alias("a"))
+    rows = _dims(spark, sf_dir, 8).select(G.long_edge_angle(_quad()).alias("a"))
     return rows.groupBy(F.least(F.floor((F.col("a") + 90) / 15), F.lit(11)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count_if(G.is_axis_aligned(F.col("a"))).alias("aligned"))
 
 

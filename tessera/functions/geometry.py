@@ -77,3 +77,33 @@ def bbox_issues(cls: Column, cx: Column, cy: Column, w: Column, h: Column, class
         F.when((cls < 0) | (cls >= classes), "class_out_of_range"), F.when((cx < 0) | (cx > 1) | (cy < 0) | (cy > 1), "center_out_of_range"),
         F.when((w <= 0) | (w > 1), "width_out_of_range"), F.when((h <= 0) | (h > 1), "height_out_of_range"),
     ))
+
+
+def order_points(q: Quad) -> Column:
+    """Points by angle about the centroid, from the one with the least x + y on."""
+    cx, cy = sum((p[0] for p in q[1:]), q[0][0]) / 4, sum((p[1] for p in q[1:]), q[0][1]) / 4
+    points = F.array_sort(F.array(*(F.struct(F.atan2(y - cy, x - cx).alias("a"), F.lit(i).alias("i"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate(q))))
+    sums = F.transform(points, lambda p: p["x"] + p["y"])
+    start = F.array_position(sums, F.array_min(sums)).cast("int")
+    return F.transform(F.concat(F.slice(points, start, F.lit(4)), F.slice(points, F.lit(1), start - 1)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+
+def edge_angle(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Degrees of an edge in [-90, 90), two decimals."""
+    return F.round(F.pmod(F.degrees(F.atan2(b[1] - a[1], b[0] - a[0])) + 90, F.lit(180.0)) - 90, 2)
+
+
+def corners(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Quad:
+    """Corners of a rotated box (radians), clockwise from the top left."""
+    out = []
+    for sx, sy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)):
+        x, y = w * sx, h * sy
+        out.append((cx + x * F.cos(angle) - y * F.sin(angle), cy + x * F.sin(angle) + y * F.cos(angle)))
+    return out
+
+
+def scale_points(points: Column, factor: Column) -> Column:
+    """``x,y;x,y`` scaled, two decimals; pairs that are not two numbers are dropped."""
+    pair = F.transform(F.split(points, ";"), lambda p: F.transform(F.split(p, ","), lambda v: v.try_cast("double")))
+    good = F.filter(pair, lambda p: (F.size(p) == 2) & ~F.exists(p, lambda v: v.isNull()))
+    return F.array_join(F.transform(good, lambda p: F.array_join(F.transform(p, lambda v: F.format_string("%.2f", v * factor)), ",")), ";")

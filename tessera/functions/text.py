@@ -106,8 +106,8 @@ def file_extension(path: Column) -> Column:
 def split_notes(s: Column) -> Column:
     """Numbered items if there are two at least, else parts between line ends, full stops and semicolons."""
     numbered = F.regexp_extract_all(s, F.lit(r"(?:^|\s)(\d+\s*[\.\)]\s*[^.\n]+)"), F.lit(1))
-    parts = F.filter(F.transform(F.split(s, r"[\n\.;]+"), F.trim), lambda p: p != "")
-    return F.when(F.size(numbered) >= 2, F.transform(numbered, F.trim)).otherwise(parts)
+    parts = F.filter(F.transform(F.split(s, r"[\n\.;]+"), lambda x: F.trim(x)), lambda p: p != "")
+    return F.when(F.size(numbered) >= 2, F.transform(numbered, lambda x: F.trim(x))).otherwise(parts)
 
 
 def bullet_items(s: Column) -> Column:
