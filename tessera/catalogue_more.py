@@ -55,10 +55,10 @@ def normalize_record(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("m_"), k.cast("string")).alias("id"), F.coalesce(crawl.first_of(doi, title), F.lit("none")).alias("name"), F.array_join(words, "|").alias("keywords"))
 
 
-@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND value > 99.5) SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = e.user_id) ORDER BY event_id LIMIT 100")
+@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id % 3 = 0) SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = e.user_id) ORDER BY event_id LIMIT 100")
 def incremental_limit(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    done = events.where("event_type = 'signup' and value > 99.5").select("user_id").distinct()
+    done = events.where("event_type = 'signup' and user_id % 3 = 0").select("user_id").distinct()
     return events.join(done, "user_id", "left_anti").orderBy("event_id").limit(100).select("user_id", "event_id")
 
 
