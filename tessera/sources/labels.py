@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,35 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_annotation_xml(spark: SparkSession, path: str) -> DataFrame:
     """Image elements of annotation XML files, attributes with a leading underscore."""
     return spark.read.format("xml").option("rowTag", "image").load(path)
+
+
+IMAGES = "_name string, _width int, _height int, box array<struct<_label string, _xtl double, _ytl double, _xbr double, _ybr double, attribute array<struct<_name string, _VALUE string>>>>"
+
+
+def skip_reasons(spark: SparkSession, path: str, label: str = "SKIP", attribute: str = "reason", default: str = "stage1_fp_other") -> DataFrame:
+    """(reason, file), each once, of the boxes with a label in annotation XML: the attribute's text, else the default."""
+    boxes = spark.read.format("xml").option("rowTag", "image").schema(IMAGES).load(path).select(F.element_at(F.split("_name", "/"), -1).alias("file"), F.explode("box").alias("b"))
+    given = F.filter(F.transform(F.filter("b.attribute", lambda a: a["_name"] == attribute), lambda a: F.trim(a["_VALUE"])), lambda v: v != "")
+    return boxes.where(F.col("b._label") == label).select(F.coalesce(F.get(given, 0), F.lit(default)).alias("reason"), "file").where("file <> ''").distinct()
+
+
+def scaled_boxes(spark: SparkSession, path: str, factor: float) -> DataFrame:
+    """(image, width, height, label, xtl, ytl, xbr, ybr) of annotation XML, scaled; corners to two decimals, sizes to whole pixels."""
+    boxes = spark.read.format("xml").option("rowTag", "image").schema(IMAGES).load(path).select("_name", "_width", "_height", F.explode("box").alias("b"))
+    size = lambda c: F.bround(F.col(c) * factor, 0).cast("int").alias(c[1:])
+    return boxes.select(F.col("_name").alias("image"), size("_width"), size("_height"), F.col("b._label").alias("label"), *(F.round(F.col(f"b._{c}") * factor, 2).alias(c) for c in ("xtl", "ytl", "xbr", "ybr")))
+
+
+def is_true(value: Column) -> Column:
+    """1 for the ways in which a truth table writes yes, else 0."""
+    return F.when(F.lower(F.trim(value)).isin("1", "true", "y", "yes", "tb"), 1).otherwise(0)
+
+
+def one_of_each(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """The first row of each key in an order: first wins, last wins (descending) or a precedence of sources."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("place = 1").drop("place")
+
+
+def pairs(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """(stem, label, image) of files (stem, file); a side is null where a file has no partner."""
+    return labels.select("stem", F.col("file").alias("label")).join(images.select("stem", F.col("file").alias("image")), "stem", "full_outer")

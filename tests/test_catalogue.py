@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tessera import catalogue, catalogue_more  # noqa: F401
+from tessera import catalogue, catalogue_more, catalogue_records  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
