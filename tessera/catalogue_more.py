@@ -133,7 +133,7 @@ def decision_crosstab(spark, sf_dir):
 
 @query()
 def note_match(spark, sf_dir):
-    notes = table(spark, sf_dir, "part").select((F.col("p_partkey") % 200).alias("k"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("note"))
+    notes = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("k"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("note"))
     return matching.match_notes(notes.withColumn("note", F.regexp_replace("note", "^s", "z")), notes, "k")
 
 

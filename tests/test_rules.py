@@ -28,7 +28,7 @@ def test_precision_recall(spark):
 def test_text_rules(spark):
     s = F.lit
     assert value(spark, T.fuzzy_match(s("DWG-001-A"), s("DWG-001-B"))) is True
-    assert matching.edit_distance("kitten", "sitting") == 3 and value(spark, T.edit_ratio(s(""), s(""))) == 0.0
+    assert value(spark, F.levenshtein(s("kitten"), s("sitting"))) == 3 and value(spark, T.edit_ratio(s(""), s(""))) == 0.0
     assert value(spark, T.normalize_text(s("  a \t b  c "))) == "A B C" and value(spark, T.squeeze_text(s(" a b "))) == "AB"
     assert value(spark, T.split_notes(s("1. cut it\n2. bend it"))) == ["1. cut it", "2. bend it"]
     assert value(spark, T.split_notes(s("  cut ; bend.\n paint "))) == ["cut", "bend", "paint"]
@@ -81,6 +81,36 @@ def test_greedy_match(spark):
     assert [r.pos for r in matching.suppress(p.where("k = 1 and cls = 'a'"), "k").collect()] == [1]
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_notes_match_as_one_by_one(spark):
+    import random
+
+    draw = random.Random(5)
+    note = lambda: draw.choice([None, "", "".join(draw.choice("ab") for _ in range(draw.randrange(1, 7)))])
+    sides = [[(draw.choice([None, 1, 2, 3]), i, note()) for i in range(60)] for _ in range(2)]
+    want = {}
+    for k in (None, 1, 2, 3):
+        p, g = ([r[2] or "" for r in rows if r[0] == k] for rows in sides)
+        free, tp = list(range(len(g))), 0
+        for x in p:
+            ratio, j = min(((edit_distance(x, g[j]) / max(len(x), len(g[j]), 1), j) for j in free), default=(2.0, -1))
+            if ratio <= 0.3:
+                free.remove(j)
+                tp += 1
+        want[k] = (len(p), len(g), tp)
+    p, g = (spark.createDataFrame(rows, "k int, pos int, note string") for rows in sides)
+    assert {r.k: (r.n_pred, r.n_gt, r.tp) for r in matching.match_notes(p, g, "k").collect()} == want
+    assert matching.match_notes(p.limit(0), g.where("k = 1"), "k").first().tp == 0
+
+
 def test_splits_do_not_leak(spark):
     rows = spark.range(5000).select((F.col("id") % 137).alias("g"))
     folds = splits.group_kfold(rows, "g", 5)
