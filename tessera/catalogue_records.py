@@ -99,6 +99,11 @@ def fuzzy_pairs(spark, sf_dir):
     return a.join(b, "head").where((F.col("a") < F.col("b")) & T.fuzzy_match(F.col("a"), F.col("b"), 0.3)).select("a", "b")
 
 
+@query("SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) <= 0.3")
+def fuzzy_pairs_all(spark, sf_dir):
+    return matching.fuzzy_pairs(table(spark, sf_dir, "part"), "p_name", 0.3)
+
+
 @query(r"SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^\s*(?:[-*•]|\d+[.)])\s*', ''))), lambda x: x <> ''))::INT AS items FROM conversations")
 def bullet_items(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.bullet_items(F.col("text"))).alias("items"))

@@ -111,6 +111,20 @@ def test_notes_match_as_one_by_one(spark):
     assert matching.match_notes(p.limit(0), g.where("k = 1"), "k").first().tp == 0
 
 
+def test_fuzzy_pairs_are_all_pairs(spark):
+    import itertools
+    import random
+
+    draw = random.Random(3)
+    names = {"".join(draw.choice("abc") for _ in range(draw.randrange(1, 15))) for _ in range(150)} | {"blue anvil", "old anvil", "", "é일b語xyzw", "일b語xyzw"}
+    rows = spark.createDataFrame([(x,) for x in [*names, "blue anvil", None]], "s string")
+    for most in (0.1, 0.3, 0.5):
+        want = {tuple(sorted(p, key=str.encode)) for p in itertools.combinations(names, 2) if edit_distance(*p) / max(map(len, p)) <= most}
+        got = matching.fuzzy_pairs(rows, "s", most).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+        assert most < 0.3 or ("é일b語xyzw", "일b語xyzw") in want or ("일b語xyzw", "é일b語xyzw") in want
+
+
 def test_splits_do_not_leak(spark):
     rows = spark.range(5000).select((F.col("id") % 137).alias("g"))
     folds = splits.group_kfold(rows, "g", 5)
