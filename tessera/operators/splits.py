@@ -6,26 +6,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _deal(load: list[int], n: int, groups: int) -> list[tuple[int, list[int]]]:
+    """Deals groups of n rows, each to the then smallest fold (ties: the first); ``load`` is changed in place.
+
+    Gives (first rank, folds in turn from it on). Folds join one by one as the smaller ones reach their load; between
+    two joins the loads are less than n apart, so the turn stays the same.
+    """
+    joins, active, spans, rank = sorted(range(len(load)), key=lambda f: (load[f], f)), [], [], 0
+    for k, f in enumerate(joins):
+        active.append(f)
+        left = groups - rank
+        if not left:
+            break
+        turn = sorted(active, key=lambda g: (load[g], g))
+        if k + 1 < len(joins):
+            e = joins[k + 1]
+            left = min(left, sum(max(0, (load[e] - load[g] - (g > e)) // n + 1) for g in turn))
+        if left:
+            spans.append((rank, turn))
+        for i, g in enumerate(turn):
+            load[g] += n * (left // len(turn) + (i < left % len(turn)))
+        rank += left
+    return spans
+
+
 def group_kfold(rows: DataFrame, group: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(group, n, fold): largest groups first (ties by seeded hash), each to the smallest fold.
+    """(group, n, fold): largest groups first (ties by seeded hash), each to the then smallest fold.
 
-    Groups of one size in a row are dealt in turn to the folds, from the smallest fold on; sizes differ by one
-    group at most. The heap runs over distinct sizes and counts, a short list, not over groups.
+    Folds differ by the largest group at most. The deal runs over distinct sizes and counts, a short list, not over
+    groups; a group finds its fold by its rank among groups of its size.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     runs = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("n")).collect()  # distinct sizes
-    load, plan = [0] * folds, []
-    for r in runs:
-        order = sorted(range(folds), key=lambda f: (load[f], f))
-        plan.append((r["n"], order))
-        for k in range(folds):
-            load[order[k]] += r["n"] * (r["groups"] // folds + (k < r["groups"] % folds))
-    table = rows.sparkSession.createDataFrame(plan or [(0, [0])], "n long, folds array<int>")
+    load = [0] * folds
+    plan = [(r["n"], _deal(load, r["n"], r["groups"])) for r in runs]
+    table = rows.sparkSession.createDataFrame(plan or [(0, [(0, [0])])], "n long, spans array<struct<low:long,turn:array<int>>>")
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(64))
     ranked = sizes.withColumn("b", bucket).withColumn("r", F.row_number().over(Window.partitionBy("n", "b").orderBy(F.xxhash64(F.lit(seed), F.col(group)), group)) - 1)
     starts = ranked.groupBy("n", "b").agg(F.count(F.lit(1)).alias("c")).select("n", "b", (F.sum("c").over(Window.partitionBy("n").orderBy("b")) - F.col("c")).alias("s"))
-    ranked = ranked.join(starts, ["n", "b"]).join(F.broadcast(table), "n")
-    return ranked.select(group, "n", F.element_at("folds", ((F.col("s") + F.col("r")) % folds + 1).cast("int")).alias("fold"))
+    ranked = ranked.join(starts, ["n", "b"]).join(F.broadcast(table), "n").withColumn("r", F.col("s") + F.col("r"))
+    ranked = ranked.withColumn("span", F.element_at(F.filter("spans", lambda s: s["low"] <= F.col("r")), -1))
+    place = (F.col("r") - F.col("span.low")) % F.size("span.turn") + 1
+    return ranked.select(group, "n", F.element_at("span.turn", place.cast("int")).alias("fold"))
 
 
 def train_valid(rows: DataFrame, group: str, share: float = 0.8, seed: int = 42) -> DataFrame:

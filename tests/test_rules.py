@@ -125,6 +125,28 @@ def test_fuzzy_pairs_are_all_pairs(spark):
         assert most < 0.3 or ("é일b語xyzw", "일b語xyzw") in want or ("일b語xyzw", "é일b語xyzw") in want
 
 
+def test_folds_fill_the_smallest_first(spark):
+    import random
+
+    rows = spark.range(15000).select(F.when(F.col("id") < 5000, F.lit(-1)).otherwise(F.col("id")).alias("g"))
+    load = {r.fold: r.load for r in splits.group_kfold(rows, "g", 5).groupBy("fold").agg(F.sum("n").alias("load")).collect()}
+    assert sorted(load.values()) == [2500] * 4 + [5000]
+    draw = random.Random(7)
+    for _ in range(300):
+        folds = draw.randrange(1, 7)
+        one = [0] * folds
+        many = [0] * folds
+        for n in sorted(draw.sample(range(1, 40), draw.randrange(1, 6)), reverse=True):
+            groups, dealt = draw.randrange(1, 40), []
+            for _ in range(groups):
+                f = min(range(folds), key=lambda i: (one[i], i))
+                one[f] += n
+                dealt.append(f)
+            spans = splits._deal(many, n, groups)
+            turn = [next((low, t) for low, t in reversed(spans) if low <= r) for r in range(groups)]
+            assert [t[(r - low) % len(t)] for r, (low, t) in enumerate(turn)] == dealt and many == one
+
+
 def test_splits_do_not_leak(spark):
     rows = spark.range(5000).select((F.col("id") % 137).alias("g"))
     folds = splits.group_kfold(rows, "g", 5)
