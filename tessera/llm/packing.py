@@ -59,9 +59,9 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]
     for a in range(size, 0, -1):
         n = int(counts[a])
         for room in sorted(r for r in open_ if r >= a):
-            while n and open_.get(room):
+            while n and open_[room]:  # a sequence stays the fullest that fits until no further piece does
                 pattern, many = open_[room].pop()
-                each = min(room // a, max(1, n // many)) if n >= many else 1
+                each = min(room // a, n)
                 used = min(many, n // each)
                 if used < many:
                     open_[room].append([pattern, many - used])

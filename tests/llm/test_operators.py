@@ -246,6 +246,24 @@ def test_dominance_keeps_the_optimum():
         assert Counter(itertools.chain.from_iterable(p * n for p, n in packed)) == Counter(sizes) and all(sum(p) <= 20 for p, _ in packed)
 
 
+def test_best_fit_as_one_by_one():
+    assert sum(n for _, n in packing.pack_histogram([(600, 1000), (200, 1999)], 1024)) == 1000
+    r = random.Random(9)
+    for _ in range(200):
+        counts, rooms = np.zeros(31, dtype=np.int64), []
+        for a in r.sample(range(1, 31), r.randint(1, 6)):
+            counts[a] = r.randint(1, 30)
+        for a in range(30, 0, -1):
+            for _ in range(counts[a]):
+                fit = min((x for x in rooms if x >= a), default=None)
+                if fit is not None:
+                    rooms.remove(fit)
+                rooms.append((30 if fit is None else fit) - a)
+        packed = packing.best_fit(counts, 30)
+        assert Counter({x: n for x, n in Counter(30 - sum(p) for p, n in packed for _ in range(n)).items()}) == Counter(rooms)
+        assert Counter(itertools.chain.from_iterable(p * n for p, n in packed)) == Counter({a: int(n) for a, n in enumerate(counts) if n})
+
+
 def test_packing(spark, docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
