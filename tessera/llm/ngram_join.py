@@ -67,7 +67,7 @@ def _points(words: int):
             base = np.cumsum(wide) - wide
             fine = np.bincount(base[row] + (place & (wide[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(wide.sum()))
             yield pa.record_batch({
-                "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(C.signed(digest), pa.int64(), mask=n == 0),
+                "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(C.signed(digest), pa.int64(), mask=n == 0), "text_hash": part.column("text_hash"),
                 "point": _binary(_bytes(point), np.full(rows, GROUPS)), "fine": _binary(_bytes(fine), wide),
             })
 
@@ -349,9 +349,15 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> D
     Equal sets are one node. No pair of a group is looked at again once links connect it: the first round checks
     a spanning forest of what the trees of each entry let through, the second all that is then still apart.
     """
+    return _joined(docs, words, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """The rows of ``ngram_join`` with text_hash, and label: the component's node, null for an empty set."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    points = materialize(docs.mapInArrow(_points(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest long, point binary, fine binary"), "points")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    points = materialize(hashed.mapInArrow(_points(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest long, text_hash long, point binary, fine binary"), "points")
     firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
     entries = docs.select("doc_id", "text").mapInArrow(_entries(words, num, den), "key long, digest long, spare int")
     entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(_shared, "key long, tile int, side int, digest long, spare int, common boolean")
@@ -391,18 +397,23 @@ def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> D
     labels = materialize(components(links.unionByName(more)), "labels")
     nodes = firsts.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest"))
     least = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    nodes = nodes.select("digest", "label").join(least, "label").select("digest", "component_id")
-    return points.select("doc_id", "n", "digest").join(nodes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = nodes.select("digest", "label").join(least, "label").select("digest", "label", "component_id")
+    rows = points.select("doc_id", "n", "digest", "text_hash").join(nodes, "digest", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "text_hash", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row of each component stays, the one whose doc_id names it; rows without words all stay.
 
-    Of repeated rows with that doc_id one stays. Rows whose doc_id is null stay (they cannot be told apart).
+    Of a component's rows with that doc_id one stays, also where another component has rows of the same doc_id. Rows
+    whose doc_id is null stay where it names their component (they cannot be told apart). Texts go by a 64-bit hash.
     """
-    found = ngram_join(docs, words, num, den)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("keep_id")).agg(F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    twice = F.col("keep_id").isNotNull() & (F.col("copies") > 1) & (F.col("n_shingles") > 0)
-    one = rows.where(twice).dropDuplicates(["keep_id"])
-    return rows.where(~twice).unionByName(one).select(*docs.columns)
+    found = _joined(docs, words, num, den)
+    one = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("one", one)
+    named = named.groupBy(F.col("doc_id").alias("keep_id"), "one", F.when(F.col("one"), F.col("label")).otherwise(F.col("text_hash")).alias("part"))
+    keep = named.agg(F.min("text_hash").alias("keep_hash"), F.count(F.lit(1)).alias("copies")).drop("part")
+    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("keep_hash")))
+    twice = F.col("one") & (F.col("copies") > 1)
+    alone = rows.where(twice).dropDuplicates(["keep_id", "keep_hash"])
+    return rows.where(~twice).unionByName(alone).select(*docs.columns)

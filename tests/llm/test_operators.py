@@ -85,6 +85,14 @@ def test_ngram_join(docs, rows, n, num, den):
         assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == want
 
 
+def test_one_doc_id_with_two_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(5, a), (5, b), (3, b + " more"), (7, c), (7, c), (7, c + " more"), (8, a + " more"), (9, None), (9, c.upper() + " x"), (None, "p q"), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in data], SCHEMA).withColumn("text_hash", F.lit("clash"))
+    kept = [(r.doc_id, (r.text or "-")[0]) for r in drop_near_copies(docs).collect()]
+    assert Counter(kept) == Counter([(5, "a"), (3, "b"), (7, "c"), (9, "-"), (None, "p")])
+
+
 def test_license_scan(spark, docs, rows):
     extra = [(500, "x The MIT License, the MIT license. CC BY-NC 4.0 apache license\nVersion 2", None, None, 1), (501, "This work is licensed under the GNU General Public License, version 3.", None, None, 1), (502, "mit the license mit cc by", None, None, 1)]
     got = {r.doc_id: r for r in LS.license_scan(docs.select(*SCHEMA.replace(",", "").split()[::2]).unionByName(spark.createDataFrame(extra, SCHEMA))).collect()}
