@@ -74,7 +74,8 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTIC
 
     ``hits``: array of (start word from 0, label, share of the template's weight that stands there, exact). A
     hit of an ``exact`` template needs all its words in a row. Any other needs its key phrase in its place and at
-    least ``least`` of its weight. ``anchors``: indexed words of each template, its rarest ones.
+    least ``least`` of its weight. ``anchors``: indexed words of each template, its rarest ones,
+    besides the rarest word that every hit must have.
     n_base, first_word, last_word, base_labels: of exact hits (0, null, null and "" without any). labels: of all.
     score: the largest share, 0 without hits. Labels are distinct, sorted and joined by commas.
     Null and empty texts have no words and no hits. Repeated rows give repeated results. Other columns are ignored.
@@ -85,9 +86,10 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTIC
     idf = {w: math.log((1 + seen.get("", 0)) / (1 + seen.get(w, 0))) + 1e-6 for w in vocabulary}
     index: dict[str, list[tuple[int, int]]] = {}
     for n, t in enumerate(split):
-        for w in sorted(set(t), key=lambda w: (-idf[w], w))[:anchors]:
-            if not templates[n].exact or w == min(set(t), key=lambda w: (-idf[w], w)):
-                index.setdefault(w, []).extend((n, i) for i, x in enumerate(t) if x == w)
+        rarest = lambda some: sorted(set(some), key=lambda w: (-idf[w], w))
+        must = t if templates[n].exact else templates[n].key.split()
+        for w in {*rarest(must)[:1], *([] if templates[n].exact else rarest(t)[:anchors])}:
+            index.setdefault(w, []).extend((n, i) for i, x in enumerate(t) if x == w)
     posting = "array<struct<template:int,place:int>>"
     postings = F.create_map(*(x for w, p in sorted(index.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(n).alias("template"), F.lit(i).alias("place")) for n, i in p)).cast(posting))))
     rare = F.array(*map(F.lit, sorted(index)))

@@ -93,6 +93,13 @@ def test_one_doc_id_with_two_texts(spark):
     assert Counter(kept) == Counter([(5, "a"), (3, "b"), (7, "c"), (9, "-"), (None, "p")])
 
 
+def test_license_without_its_rarest_words(spark):
+    rows = [(i, "zz", None, None, 1) for i in range(100)]
+    rows.append((100, "Permission is hereby granted, free of charge, to any person getting a copy of this work", None, None, 1))
+    got = {r.doc_id: r for r in LS.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[100].labels == "mit" and 0.8 <= got[100].score < 1 and len(got[100].hits) == 1
+
+
 def test_license_scan(spark, docs, rows):
     extra = [(500, "x The MIT License, the MIT license. CC BY-NC 4.0 apache license\nVersion 2", None, None, 1), (501, "This work is licensed under the GNU General Public License, version 3.", None, None, 1), (502, "mit the license mit cc by", None, None, 1)]
     got = {r.doc_id: r for r in LS.license_scan(docs.select(*SCHEMA.replace(",", "").split()[::2]).unionByName(spark.createDataFrame(extra, SCHEMA))).collect()}
