@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def deal_equal(loads: list[float], size: float, n: int) -> tuple[list[int], list[float]]:
+    """How many of n things of one size each bin gets, if each goes to the then least-loaded bin (ties: the first).
+
+    The n least of all loads that bins would have on the way are those taken: all below a level, found by bisection,
+    are counted at once, and a heap deals the few that are left. Gives the counts and the loads in the end.
+    """
+    below = lambda level: [max(0, math.ceil((level - load) / size)) for load in loads]
+    low, high = min(loads), max(loads) + size * (n // len(loads) + 1)
+    for _ in range(64):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(below(middle)) <= n else (low, middle)
+    counts = below(low)
+    heap = [(load + c * size, k) for k, (load, c) in enumerate(zip(loads, counts, strict=True))]
+    heapq.heapify(heap)
+    for _ in range(n - sum(counts)):
+        load, k = heapq.heappop(heap)
+        counts[k] += 1
+        heapq.heappush(heap, (load + size, k))
+    return counts, [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
 def _deal(load: list[int], n: int, groups: int) -> list[tuple[int, list[int]]]:
     """Deals groups of n rows, each to the then smallest fold (ties: the first); ``load`` is changed in place.
 
