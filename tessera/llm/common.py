@@ -6,17 +6,18 @@ for a word. ``text_blocks`` bounds what a kernel sees at once, whatever the Arro
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text and rows that a kernel handles at once (a longer text is handled alone).
-BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 2048
 U = np.uint64
 
 
@@ -25,12 +26,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    It may be unset only where driver and executors are one process (a local master); a folder is then set here.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         import tempfile
 
-        found = f"file://{tempfile.gettempdir()}/tessera-shared"
+        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -40,7 +46,70 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, so that names used on the way cannot clash; ``unpacked`` gives them back."""
+    return F.struct(*(df[_quoted(c)].alias(c) for c in df.columns))
+
+
+def unpacked(column: str, names: list[str]) -> list[Column]:
+    return [F.col(column).getField(c).alias(c) for c in names]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: Bits of a sieve: its table has SIEVE / 64 numbers, half a megabyte, however many rows it is made of.
+SIEVE = 1 << 22
+
+
+def sieve(hashes: DataFrame) -> Callable[[Column], Column]:
+    """A test for 64-bit hashes: true for all in the first column of ``hashes``, and by chance for some others.
+
+    It keeps rows that a join would drop anyway out of the join's exchange. The more hashes, the more pass; the
+    join after it decides, so results never depend on it.
+    """
+    spark, h = hashes.sparkSession, F.pmod(F.col(hashes.columns[0]), F.lit(SIEVE)).cast("int")
+    bits = hashes.select(F.shiftright(h, 6).alias("word"), F.expr("1L").alias("one"), h.bitwiseAND(63).alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits")).collect()  # SIEVE / 64 rows at most
+    table = [0] * (SIEVE // 64)
+    for r in found:
+        table[r["word"]] = r["bits"]
+    whole = spark.createDataFrame([(table,)], "bits array<long>").scalar()
+
+    def passes(column: Column) -> Column:
+        at = F.pmod(column, F.lit(SIEVE)).cast("int")
+        return F.get(whole, F.shiftright(at, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63))) != 0
+
+    return passes
+
+
+def running(rows: DataFrame, value: Column, order: list, by: list[str], label: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over earlier rows by ``order`` (with the same ``by``, if any).
+
+    Rows are range-partitioned by both; sums run inside partitions, and on from the totals of those before.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(rows.withColumn("run_value", value).repartitionByRange(parts, *by, *order).withColumn("run_part", F.spark_partition_id()), label)
+    inside = F.sum("run_value").over(Window.partitionBy("run_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = placed.groupBy("run_part", *by).agg(F.sum("run_value").alias("run_total"))
+    earlier = Window.partitionBy(*by).orderBy("run_part") if by else Window.orderBy("run_part")  # a row for each partition
+    totals = totals.select("run_part", *by, F.coalesce(F.sum("run_total").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("run_start"))
+    out = placed.withColumn("run_within", F.coalesce(inside, F.lit(0))).join(totals, ["run_part", *by])
+    return out.withColumn("before", F.col("run_start") + F.col("run_within")).select(*rows.columns, "before")
 
 
 def text_column(df: DataFrame, column: str = "text"):
@@ -119,6 +188,22 @@ def text_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", most: int
             row = end
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of rows sorted by ``names``: tables of whole groups, with the places where groups begin, and the end."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        keys = [np.asarray(rows.column(c).combine_chunks()) for c in names]
+        cut = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1])
+        if len(cut) > 1:
+            yield rows.slice(0, int(cut[-1])), cut
+        rest = rows.slice(int(cut[-1]))
+    if rest is not None:
+        yield rest, np.array([0, len(rest)])
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``; words never cross texts."""
     if not len(data):

@@ -7,9 +7,14 @@ of their points; a node of an R-tree is bounded in the same way by the upper cor
 Hash-uniform points of documents of one size lie close together, so the boxes near the root of one tree over
 all documents overlap and prune nothing. The upper levels are therefore replaced by an exact directory: with at
 most k differing shingles and m > k blocks, a linked pair has a block of shingles in common as a whole. Each
-directory entry (size band, block, sum of the hashes in it) leads to a small R-tree over the points filed there.
-Pairs that survive are bounded again by fine points, of about half as many coordinates as a set has shingles,
-and what is left is verified on the shingle sets themselves.
+directory entry (size band, block, sum of the hashes in it) leads to an R-tree over the points filed there (of
+one leaf, where it holds at most FANOUT); entries with the same sets are one.
+
+What the trees of the entries let through is only joined up: each entry gives a spanning forest of it. The parts
+so connected are clusters, and no link leaves one. Each set is then sent once to its cluster's task, where an
+R-tree over its points, of about half as many coordinates as a set has shingles, gives the pairs that are verified
+on the shingle sets themselves. A task returns a spanning forest of verified links, and the number of each set's
+links, so no table of pairs grows with the square of a cluster.
 """
 
 from __future__ import annotations
@@ -18,17 +23,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
-from tessera.llm.common import U, materialize
+from tessera.llm.common import U, discard, materialize
 from tessera.llm.graph import components
 
-#: Coordinates of a point; points in a leaf or children of a node; points of an entry that one task handles.
-GROUPS, FANOUT, TILE = 256, 16, 1024
-#: Sets in an entry above which it is common, and below which its pairs are bounded without a tree.
-COMMON, FEW = 32, 32
+#: Coordinates of a point in the directory; points in a leaf or children of a node.
+GROUPS, FANOUT = 256, 16
+#: Sets above which an entry is common; above which its sets are candidates of each other without a bound.
+COMMON, TILE = 32, 1024
+#: Shingles (and GROUPS for each set) that a side of a verification task holds; a larger cluster is dealt to several.
+WEIGHT = 1 << 20
+#: Sets of a component that meet the other components' when a cluster of several tasks is joined up (about).
+ENVOYS = 16
+#: Entries that a task looks at together for keys that many of them have; digests it remembers.
+WINDOW, MEMORY = 1 << 18, 1 << 18
+#: Different sets with one 64-bit digest that are told apart, at most (at 10^10 sets about three are expected).
+CLASHES = 10_000
 
 
 class Limits:
@@ -54,29 +68,40 @@ class Limits:
         return -((-self.num * (a + b)) // (self.num + self.den))
 
 
-def _points(words: int):
+def _digests(row: np.ndarray, value: np.ndarray, rows: int, bits: int, odd: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes, digests of ``bits`` bits and 64 more bits of each set. ``odd``: other digests for some (digest, more bits)."""
+    n = np.bincount(row, minlength=rows)
+    digest = C.signed(C.mix(C.sums_by(row, C.mix(value, 1), rows) + n.astype(np.uint64), 2) >> U(64 - bits))
+    check = C.signed(C.mix(C.sums_by(row, C.mix(value, 11), rows) + n.astype(np.uint64), 12))
+    if odd:
+        digest = np.array([odd.get(k, k[0]) for k in zip(digest.tolist(), check.tolist(), strict=True)], dtype=np.int64)
+    return n, digest, check
+
+
+def _points(words: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in C.text_blocks(batches):
             rows = part.num_rows
             row, value = C.shingle_sets(data, offsets, words)
-            n = np.bincount(row, minlength=rows)
-            digest = C.mix(C.sums_by(row, C.mix(value, 1), rows) + n.astype(np.uint64), 2)
-            place = C.mix(value, 3)
-            point = np.bincount(row * GROUPS + (place & U(GROUPS - 1)).astype(np.int64), minlength=rows * GROUPS)
-            wide = fine_groups(n)
-            base = np.cumsum(wide) - wide
-            fine = np.bincount(base[row] + (place & (wide[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(wide.sum()))
+            n, digest, check = _digests(row, value, rows, bits, {})
             yield pa.record_batch({
-                "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(C.signed(digest), pa.int64(), mask=n == 0), "text_hash": part.column("text_hash"),
-                "point": _binary(_bytes(point), np.full(rows, GROUPS)), "fine": _binary(_bytes(fine), wide),
+                "doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "digest": pa.array(digest, pa.int64(), mask=n == 0), "more": pa.array(check, pa.int64()),
+                "text_hash": part.column("text_hash"), "point": _binary(count_vectors(row, value, np.full(rows, GROUPS)), np.full(rows, GROUPS)),
             })
 
     return run
 
 
-def fine_groups(n: np.ndarray) -> np.ndarray:
-    """Coordinates of a set's fine point: a power of 2, about half its size. A fine point folds to any smaller one."""
-    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(n, 1) / 2)), 8, 13).astype(np.int64))
+def count_vectors(row: np.ndarray, value: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Counts of each row's hashed groups (powers of 2), one row after the other."""
+    base = np.cumsum(groups) - groups
+    at = base[row] + (C.mix(value, 3) & (groups[row] - 1).astype(np.uint64)).astype(np.int64)
+    return _bytes(np.bincount(at, minlength=int(groups.sum())))
+
+
+def fine_groups(n: int, sets: int) -> int:
+    """Coordinates of the points of so many sets of up to ``n`` shingles: a power of 2, about half of that, and few for many sets."""
+    return 1 << int(np.clip(np.ceil(np.log2(max(n, 1) / 2)), 8, max(8, 21 - int(sets).bit_length())))
 
 
 def _bytes(counts: np.ndarray) -> np.ndarray:
@@ -89,43 +114,34 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _finer(num: int, den: int):
-    """Pairs that survive the bound of their fine points."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = Limits(num, den)
-        for batch in batches:
-            size = [np.asarray(batch.column(c)) for c in ("n_a", "n_b")]
-            need, keep = limits.need(*size), np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.uint8).astype(np.int64) for c in ("a", "b"))
-                least, beyond = min(len(a), len(b)), min(size[0][i] - a.sum(), size[1][i] - b.sum())
-                keep[i] = np.minimum(a.reshape(-1, least).sum(axis=0), b.reshape(-1, least).sum(axis=0)).sum() + beyond >= need[i]
-            yield batch.filter(pa.array(keep)).select(["u", "v"])
-
-    return run
-
-
-def _digests(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    n = np.bincount(row, minlength=rows)
-    return n, C.signed(C.mix(C.sums_by(row, C.mix(value, 1), rows) + n.astype(np.uint64), 2))
-
-
-def _entries(words: int, num: int, den: int):
-    """Directory entries of each distinct set that a task sees: (key, digest, spare).
+def _entries(words: int, num: int, den: int, bits: int, odd: dict):
+    """Directory entries of each distinct set that a task sees: (key, salt, digest, spare).
 
     A linked pair has more equal blocks than the slack. So a set need not be filed under its empty or common
     blocks while they are no more than that; ``spare``: how many common ones it may leave out (times 2, plus 1 in
-    the band of its larger partners; negative: none).
+    the band of its larger partners; negative: none). Of a key that more than COMMON sets of a window have, those
+    beyond are dealt out by a salt (over 0), so a hot key does not meet in one task.
     """
 
+    def dealt(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, digest, spare = (np.concatenate(x) for x in zip(*rows, strict=True))
+        order = np.argsort(key, kind="stable")
+        key, digest, spare = key[order], digest[order], spare[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+        salt = np.where(rank > COMMON, 1 + digest % 64, 0).astype(np.int32)
+        return pa.record_batch({"key": pa.array(key), "salt": pa.array(salt), "digest": pa.array(digest), "spare": pa.array(spare)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits, seen = Limits(num, den), set()
+        held, size = [], 0
         for part, data, offsets in C.text_blocks(batches):
             rows = part.num_rows
             row, value = C.shingle_sets(data, offsets, words)
-            n, digest = _digests(row, value, rows)
+            n, digest, _ = _digests(row, value, rows, bits, odd)
             fresh = np.zeros(rows, dtype=bool)
+            if len(seen) > MEMORY:  # a set seen again later is filed again, which changes nothing
+                seen.clear()
             for i, d in enumerate(digest.tolist()):
                 if n[i] and d not in seen:
                     seen.add(d)
@@ -147,41 +163,37 @@ def _entries(words: int, num: int, den: int):
                 hollow = np.bincount(owner, weights=filled == 0, minlength=rows)
                 emit = (filled > 0) | (hollow > limits.slack[band])[owner]  # an empty block counts only where many are empty
                 spare = np.clip(limits.slack[band] - hollow, -1, 1 << 20).astype(np.int32) * 2 + more
-                yield pa.record_batch({"key": pa.array(C.signed(key[emit]), pa.int64()), "digest": pa.array(digest[owner[emit]], pa.int64()), "spare": pa.array(spare[owner[emit]], pa.int32())})
+                held.append((C.signed(key[emit]), digest[owner[emit]], spare[owner[emit]]))
+                size += int(emit.sum())
+                if size >= WINDOW:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition by key: the entries that hold two sets or more, dealt out in tiles if they hold many."""
-    got = [tuple(np.asarray(c) for c in b.columns) for b in batches if b.num_rows]
-    if not got:
-        return
-    key, digest, spare = (np.concatenate(x) for x in zip(*got, strict=True))
-    del got
-    order = np.lexsort((digest, key))
-    key, digest, spare = key[order], digest[order], spare[order]
-    once = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
-    key, digest, spare = key[once], digest[once], spare[once]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(first, len(key)))
-    count = np.repeat(count, count)
-    tiles, shared, common = -(-count // TILE), count > 1, count > COMMON
-
-    def rows(at: np.ndarray, tile: np.ndarray, side: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({
-            "key": pa.array(key[at]), "tile": pa.array(tile.astype(np.int32)), "side": pa.array(side.astype(np.int32)),
-            "digest": pa.array(digest[at]), "spare": pa.array(spare[at]), "common": pa.array(common[at]),
-        })
-
-    plain = np.flatnonzero(shared & (tiles == 1))
-    for i in range(0, len(plain), 1 << 16):
-        at = plain[i : i + (1 << 16)]
-        yield rows(at, np.zeros(len(at)), np.zeros(len(at)))
-    for i in np.flatnonzero(shared & (tiles > 1)):  # each pair of tiles of an entry is a task's work of its own
-        t = int(tiles[i])
-        own = int(digest[i]) % t
-        yield rows(np.full(t, i), np.array([1 + min(own, o) * t + max(own, o) for o in range(t)]), np.full(t, own))
+    """Of entries sorted by key, salt and digest: those that hold two sets or more.
+
+    An entry's key then is the hash of its sets, so that entries with the same sets are one; a common entry's,
+    which sets may leave, stays its own.
+    """
+    for rows, cut in C.whole_groups(batches, ["key", "salt"]):
+        key, salt, digest, spare = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "salt", "digest", "spare"))
+        once = np.concatenate([[True], digest[1:] != digest[:-1]])
+        once[cut[:-1]] = True
+        entry = np.repeat(np.arange(len(cut) - 1), np.diff(cut))[once]
+        key, salt, digest, spare = key[once], salt[once], digest[once], spare[once]
+        count = np.bincount(entry)
+        common = (count > COMMON) | (salt[np.cumsum(count) - count] > 0)
+        alike = C.signed(C.mix(C.sums_by(entry, C.mix(digest.view(np.uint64), 21), len(count)) + count.astype(np.uint64)))
+        _, first = np.unique(alike, return_index=True)
+        told = np.zeros(len(count), dtype=bool)
+        told[first] = True
+        keep = (common | ((count > 1) & told))[entry]
+        yield pa.record_batch({"key": pa.array(np.where(common[entry], key, alike[entry])[keep]), "digest": pa.array(digest[keep]), "spare": pa.array(spare[keep]), "common": pa.array(common[entry][keep])})
 
 
 class RTree:
@@ -203,27 +215,45 @@ class RTree:
             cut = np.arange(0, len(top), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(beyond, cut)))
 
-    def join(self, limits: Limits, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of points (i < j in tree order) whose summed minima reach the overlap that a link needs."""
-        depth = len(self.levels) - 1
-        n = len(self.levels[depth][0])
-        a, b = np.triu_indices(n)
-        while True:
-            top, low, beyond = self.levels[depth]
-            keep = np.zeros(len(a), dtype=bool)
-            for i in range(0, len(a), chunk):
-                x, y = a[i : i + chunk], b[i : i + chunk]
-                keep[i : i + chunk] = np.minimum(top[x], top[y]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[x], beyond[y]) >= limits.need(low[x], low[y])
+    def join(self, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of pairs of points whose summed minima reach the overlap that a link needs, depth first."""
+        leaf = max(64, (1 << 21) // self.levels[0][0].shape[1])
+        i, j = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
+        rest = [(len(self.levels) - 1, *np.triu_indices(len(self.levels[-1][0])))]
+        while rest:
+            depth, a, b = rest.pop()
+            chunk = leaf if depth == 0 else min(leaf, 1024)  # a pair of nodes has FANOUT * FANOUT pairs of children
+            if len(a) > chunk:
+                rest.append((depth, a[chunk:], b[chunk:]))
+                a, b = a[:chunk], b[:chunk]
+            keep = reaches(limits, *self.levels[depth], a, b)
             a, b = a[keep], b[keep]
             if depth == 0:
                 apart = a < b
-                return self.order[a[apart]], self.order[b[apart]]
-            depth -= 1
-            width = len(self.levels[depth][0])
-            i, j = np.divmod(np.arange(FANOUT * FANOUT), FANOUT)
+                yield self.order[a[apart]], self.order[b[apart]]
+                continue
+            width = len(self.levels[depth - 1][0])
             x, y = (a[:, None] * FANOUT + i).ravel(), (b[:, None] * FANOUT + j).ravel()
             inside = (x <= y) & (x < width) & (y < width)
-            a, b = x[inside], y[inside]
+            rest.append((depth - 1, x[inside], y[inside]))
+
+
+def reaches(limits: Limits, top: np.ndarray, low: np.ndarray, beyond: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the summed coordinate minima of pairs reach the overlap that sets of these sizes need."""
+    return np.minimum(top[x], top[y]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[x], beyond[y]) >= limits.need(low[x], low[y])
+
+
+def leaf_pairs(cut: np.ndarray, limits: Limits, top: np.ndarray, low: np.ndarray, beyond: np.ndarray, chunk: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``RTree.join``, for groups (``cut``: where they begin, and the end) of one leaf; those of one width together."""
+    width = np.diff(cut)
+    for g in np.unique(width[(width > 1) & (width <= FANOUT)]).tolist():
+        first = cut[:-1][width == g]
+        i, j = np.triu_indices(g, 1)
+        x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+        for k in range(0, len(x), chunk):
+            p, q = x[k : k + chunk], y[k : k + chunk]
+            ok = reaches(limits, top, low, beyond, p, q)
+            yield p[ok], q[ok]
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -245,161 +275,283 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
 
 
-def _candidates(num: int, den: int, spanning: bool):
-    """Of entries (key, tile; sorted together): pairs that survive the tree's bound and lie in different components."""
+def _candidates(num: int, den: int):
+    """Of entries sorted by key: a forest of the pairs that each one's tree lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits = Limits(num, den)
-
-        def pairs(rows: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
-            """``cut``: where the entries begin, and the end."""
-            digest, size, side, label, tile = (np.asarray(rows.column(c).combine_chunks()) for c in ("digest", "n", "side", "label", "tile"))
+        for rows, cut in C.whole_groups(batches, ["key"]):
+            digest, size = (np.asarray(rows.column(c).combine_chunks()) for c in ("digest", "n"))
             raw = rows.column("point").combine_chunks()
             points = np.frombuffer(raw.buffers()[2], dtype=np.uint8)
             points = points[int(np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset]) :][: len(raw) * GROUPS].reshape(-1, GROUPS)
-            beyond = size - points.sum(axis=1, dtype=np.int64)
-            width = np.diff(cut)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for g in np.unique(width[(width > 1) & (width <= FEW)]).tolist():  # entries of one width together
-                first = cut[:-1][width == g]
-                i, j = np.triu_indices(g, 1)
-                x, y = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-                apart = label[x] != label[y]
-                x, y = x[apart], y[apart]
-                for k in range(0, len(x), 1 << 13):
-                    p, q = x[k : k + (1 << 13)], y[k : k + (1 << 13)]
-                    ok = np.minimum(points[p], points[q]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[p], beyond[q]) >= limits.need(size[p], size[q])
-                    found.append((p[ok], q[ok]))
-            for start, end in zip(cut[:-1][width > FEW].tolist(), cut[1:][width > FEW].tolist(), strict=True):
-                if label[start:end].min() != label[start:end].max():
-                    x, y = RTree(points[start:end], size[start:end]).join(limits)
-                    found.append((x + start, y + start))
+            beyond, width = size - points.sum(axis=1, dtype=np.int64), np.diff(cut)
+            found = list(leaf_pairs(cut, limits, points, size, beyond))
+            for start, end in zip(cut[:-1][width > FANOUT].tolist(), cut[1:][width > FANOUT].tolist(), strict=True):
+                x, y = (np.concatenate(c) for c in zip(*RTree(points[start:end], size[start:end]).join(limits), strict=True))
+                some = _forest(x, y, end - start)
+                found.append((x[some] + start, y[some] + start))
             a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            # In a tile of two sides only pairs across them are this task's, unless the sides are one and the same.
-            ok = (label[a] != label[b]) & ((tile[a] == 0) | (side[a] != side[b]) | _same_side(tile, side, cut)[a])
-            a, b = a[ok], b[ok]
             low, high = np.minimum(digest[a], digest[b]), np.maximum(digest[a], digest[b])
-            if spanning and len(a):  # links by smallest digest first, so entries with the same sets choose the same
-                order = np.lexsort((high, low))
-                order = order[_forest(a[order], b[order], len(digest))]
-                low, high = low[order], high[order]
-            order = np.lexsort((high, low))
-            low, high = low[order], high[order]
-            new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[: len(low)]
-            return pa.record_batch({"u": pa.array(low[new], pa.int64()), "v": pa.array(high[new], pa.int64())})
-
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if not len(table):
-                continue
-            key, tile = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "tile"))
-            cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1])
-            if len(cut) > 1:
-                yield pairs(table.slice(0, int(cut[-1])), cut)
-            rest = table.slice(int(cut[-1]))
-        if rest is not None and len(rest) > 1:
-            yield pairs(rest, np.array([0, len(rest)]))
+            order = np.lexsort((high, low))  # by smallest digest first, so entries with much the same sets choose the same
+            order = order[_forest(a[order], b[order], len(digest))] if len(a) else order
+            both = np.unique(np.stack([low[order], high[order]]), axis=1)
+            yield pa.record_batch({"u": pa.array(both[0]), "v": pa.array(both[1])})
 
     return run
 
 
-def _same_side(tile: np.ndarray, side: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """For each row, whether its entry's rows are all of one side."""
-    if len(cut) < 2:
-        return np.zeros(len(tile), dtype=bool)
-    alike = np.maximum.reduceat(side, cut[:-1]) == np.minimum.reduceat(side, cut[:-1])
-    return np.repeat(alike, np.diff(cut))
-
-
-def _sets(words: int):
-    """Shingle sets of the rows whose set is the wanted one."""
+def _sets(words: int, bits: int, odd: dict):
+    """(digest, items): the shingle sets of the rows that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in C.text_blocks(batches):
             row, value = C.shingle_sets(data, offsets, words)
-            n, digest = _digests(row, value, part.num_rows)
-            hit = (digest == np.asarray(part.column("digest"))) & (n > 0)
-            yield pa.record_batch({"digest": pa.array(digest[hit]), "items": C.list_column(C.signed(value[hit[row]]), n[hit], pa.int64())})
+            n, digest, _ = _digests(row, value, part.num_rows, bits, odd)
+            yield pa.record_batch({"digest": pa.array(digest[n > 0]), "items": C.list_column(C.signed(value), n[n > 0], pa.int64())})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs of digests -> those whose sets are linked."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct().join(firsts, "digest")
-    wanted = ids.select(F.col("doc_id").alias("wanted_id"), "digest")
-    texts = wanted.join(docs, F.col("wanted_id").eqNullSafe(F.col("doc_id"))).select("text", "digest")
-    sets = texts.mapInArrow(_sets(words), "digest long, items array<long>").dropDuplicates(["digest"])
-    sets = materialize(sets, "sets")
-    rows = pairs.join(sets.select(F.col("digest").alias("u"), F.col("items").alias("a")), "u").join(sets.select(F.col("digest").alias("v"), F.col("items").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return rows.withColumn("both", both).where(F.lit(den) * F.col("both") >= F.lit(num) * (F.size("a") + F.size("b") - F.col("both"))).select("u", "v")
+class Tile:
+    """Sets of some verification tasks, and which links hold among them."""
+
+    def __init__(self, rows: pa.Table, cut: np.ndarray, limits: Limits):
+        self.limits, self.cut = limits, cut
+        self.digest, self.side, self.times, label = (np.asarray(rows.column(c).combine_chunks()) for c in ("digest", "side", "times", "label"))
+        items = rows.column("items").combine_chunks()
+        value = np.asarray(items.flatten())
+        self.size = np.asarray(items.value_lengths()).astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.value = value.view(np.uint64)
+        terms, self.term = np.unique(value, return_inverse=True)
+        self.mark = np.zeros(len(terms), dtype=bool)
+        self.label = np.unique(label, return_inverse=True)[1]
+
+    def points(self, start: int, end: int, groups: int) -> np.ndarray:
+        row = np.repeat(np.arange(end - start), self.size[start:end])
+        first = self.start[start]
+        return count_vectors(row, self.value[first : first + len(row)], np.full(end - start, groups)).reshape(-1, groups)
+
+    def survivors(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs that the bound lets through, inside each task."""
+        width = np.diff(self.cut)
+        for start, end in zip(self.cut[:-1][width > FANOUT].tolist(), self.cut[1:][width > FANOUT].tolist(), strict=True):
+            for x, y in RTree(self.points(start, end, fine_groups(int(self.size[start:end].max()), end - start)), self.size[start:end]).join(self.limits):
+                yield x + start, y + start
+        small = np.flatnonzero(width <= FANOUT)
+        for k in range(0, len(small), 1024):  # tasks of one leaf
+            some = small[k : k + 1024]
+            rows = np.concatenate([np.arange(self.cut[t], self.cut[t + 1]) for t in some])
+            sizes = self.size[rows]
+            row = np.repeat(np.arange(len(rows)), sizes)
+            points = count_vectors(row, self.value[_ranges(self.start[rows], sizes)], np.full(len(rows), GROUPS)).reshape(-1, GROUPS)
+            for x, y in leaf_pairs(np.concatenate([[0], np.cumsum(width[some])]), self.limits, points, sizes, sizes - points.sum(axis=1, dtype=np.int64)):
+                yield rows[x], rows[y]
+
+    def linked(self, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A forest of links (two arrays), and how many rows each set is linked with, if ``counted``.
+
+        Sets of opposite sides are compared (3: both sides). Unless links are counted, sets of one label are not
+        compared, and linked ones get one label at once.
+        """
+        many, us, vs = np.zeros(len(self.digest), dtype=np.int64), [], []
+        for x, y in self.survivors():
+            ok = (self.digest[x] != self.digest[y]) & ((self.side[x] | self.side[y]) == 3)
+            x, y = x[ok], y[ok]
+            order = np.argsort(x, kind="stable")
+            x, y = x[order], y[order]
+            if not len(x):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            for lo, hi in zip(first.tolist(), np.append(first[1:], len(x)).tolist(), strict=True):
+                a, b = int(x[lo]), y[lo:hi]
+                if not counted:
+                    b = b[self.label[b] != self.label[a]]
+                if not len(b):
+                    continue
+                own = self.term[self.start[a] : self.start[a] + self.size[a]]
+                self.mark[own] = True
+                sizes = self.size[b]
+                both = np.add.reduceat(self.mark[self.term[_ranges(self.start[b], sizes)]], np.cumsum(sizes) - sizes, dtype=np.int64)
+                self.mark[own] = False
+                b = b[both >= self.limits.need(self.size[a], sizes)]
+                if counted and len(b):
+                    many[a] += self.times[b].sum()
+                    np.add.at(many, b, self.times[a])
+                for c in b.tolist():
+                    if self.label[c] != self.label[a]:
+                        self.label[self.label == self.label[c]] = self.label[a]
+                        us.append(a)
+                        vs.append(c)
+        return np.array(us, dtype=np.int64), np.array(vs, dtype=np.int64), many
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... (size of them) of each, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _bounded(groups: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The same groups in tables of about WEIGHT shingles at most, or of one group."""
+    for rows, cut in groups:
+        upto = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(rows.column("items")).combine_chunks()).astype(np.int64))])[cut]
+        k = 0
+        while k < len(cut) - 1:
+            end = max(k + 1, int(np.searchsorted(upto, upto[k] + WEIGHT, "right")) - 1)
+            yield rows.slice(int(cut[k]), int(cut[end] - cut[k])), cut[k : end + 1] - cut[k]
+            k = end
+
+
+def _verified(num: int, den: int, counted: bool):
+    """Of tasks sorted by (cluster, i, j): verified links (u, v, null), and (u, null, number of links) of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limits = Limits(num, den)
+        for rows, cut in _bounded(C.whole_groups(batches, ["cluster", "i", "j"])):
+            tile = Tile(rows, cut, limits)
+            u, v, many = tile.linked(counted)
+            told = np.flatnonzero(many)
+            yield pa.record_batch({
+                "u": pa.array(np.concatenate([tile.digest[u], tile.digest[told]])), "v": pa.array(np.concatenate([tile.digest[v], np.zeros(len(told), np.int64)]), mask=np.arange(len(u) + len(told)) >= len(u)),
+                "links": pa.array(np.concatenate([np.zeros(len(u), np.int64), many[told]])),
+            })
+
+    return run
+
+
+def _dealt(sets: DataFrame, num: int, den: int, counted: bool) -> DataFrame:
+    """Verify tasks: rows (cluster, i, j, side, digest, label, times, items)."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select("cluster", "i", "j", "side", "digest", "label", "times", "items").repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return materialize(rows.mapInArrow(_verified(num, den, counted), "u long, v long, links long"), "verified")
 
 
-def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+def _tile(tiles: Column, salt: int) -> Column:
+    return F.pmod(F.xxhash64("digest", F.lit(salt)), tiles).cast("int")
+
+
+def _tiles(rows: DataFrame, weight: int, name: str) -> DataFrame:
+    """(cluster, name): tasks that a cluster's sets are dealt to."""
+    return rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("items") + F.lit(GROUPS)) / F.lit(weight)).cast("int").alias(name))
+
+
+def _links(sets: DataFrame, num: int, den: int, counted: bool, weight: int) -> tuple[DataFrame, DataFrame]:
+    """(cluster, digest, times, items) -> a spanning forest (u, v) of the links, and (u, links) if ``counted``.
+
+    A cluster of at most ``weight`` is one task. Larger ones are dealt to tiles. To count links each pair of tiles
+    is a task, as every pair of sets has to be compared. Else the tiles are joined up first: some sets of
+    each component meet, as long as that links many; then only sets outside their cluster's largest component are
+    compared with all.
+    """
+    sets = sets.withColumn("label", F.col("digest"))
+    sets = sets.join(_tiles(sets, weight, "tiles"), "cluster").withColumn("tile", _tile(F.col("tiles"), 0))
+    here = sets.withColumns({"i": F.col("tile"), "j": F.col("tile"), "side": F.lit(3)})
+    if counted:
+        across = sets.withColumn("o", F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: o != F.col("tile"))))
+        across = across.withColumns({"i": F.least("tile", "o"), "j": F.greatest("tile", "o"), "side": F.when(F.col("tile") < F.col("o"), 1).otherwise(2)})
+        found = _dealt(here.unionByName(across.drop("o")), num, den, True)
+        return found.where("v is not null").select("u", "v"), found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
+    found = _dealt(here, num, den, False).select("u", "v")
+    large = sets.where("tiles > 1").drop("label", "tile")
+    if large.isEmpty():
+        return found, found.limit(0)
+    large = materialize(large, "large")
+    for salt in range(1, 100):
+        labels = components(found)
+        now = large.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest")).drop("node")
+        sizes = materialize(now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("many")), "sizes")
+        apart = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("many", "label"))["label"].alias("main")).where("labels > 1")
+        now = now.join(apart, "cluster")
+        some = now.join(sizes.select("cluster", "label", "many"), ["cluster", "label"]).where(F.pmod(F.xxhash64("digest", F.lit(-salt)), F.greatest(F.lit(1), F.floor(F.col("many") / ENVOYS))) == 0).drop("many", "tiles")
+        some = some.join(_tiles(some, weight, "tiles"), "cluster").withColumn("i", _tile(F.col("tiles"), salt)).withColumns({"j": F.col("i"), "side": F.lit(3)})
+        more = _dealt(some, num, den, False).select("u", "v")
+        found = found.unionByName(more)
+        if 10 * more.count() < sizes.count():  # few are left that envoys can join
+            break
+    minor = now.where("label <> main")
+    cross = _tiles(minor, weight, "lefts")
+    left = minor.join(cross, "cluster").withColumn("i", _tile(F.col("lefts"), 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
+    right = now.join(cross, "cluster").withColumn("j", _tile(F.col("tiles"), 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(2))
+    return found.unionByName(_dealt(left.unionByName(right), num, den, False).select("u", "v")), found.limit(0)
+
+
+def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, digest_bits: int = 64, weight: int = WEIGHT) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of at least num / den.
 
-    Returns (doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text): the size of its set of
-    distinct shingles of ``words`` words (A-Z lower-cased), and the smallest doc_id that links lead to, itself
-    included. A text with fewer words is one shingle; a null text or one without words has an empty set, is linked
-    with nothing and is its own component. Repeated rows have equal sets and are linked; a null doc_id stays null
-    unless links lead to one that is not. An empty table gives an empty table; other columns are ignored.
+    Returns (doc_id, n_shingles, component_id, n_links) for every row of ``docs`` (doc_id, text): the size of its set
+    of distinct shingles of ``words`` words (A-Z lower-cased), the smallest doc_id that links lead to, itself
+    included, and the number of other rows that it is linked with. A text with fewer words is one shingle; a null
+    text or one without words has an empty set, is linked with nothing and is its own component. Repeated rows have
+    equal sets and are linked; a null doc_id stays null unless links lead to one that is not. An empty table gives an
+    empty table; other columns are ignored.
 
-    Equal sets are one node. No pair of a group is looked at again once links connect it: the first round checks
-    a spanning forest of what the trees of each entry let through, the second all that is then still apart.
+    Equal sets are one node. Sets go by ``digest_bits`` bits of a digest; those that share them are told apart by 64
+    more. ``weight``: see WEIGHT.
     """
-    return _joined(docs, words, num, den).select("doc_id", "n_shingles", "component_id")
+    return _joined(docs, words, num, den, True, digest_bits, weight).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-def _joined(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _joined(docs: DataFrame, words: int, num: int, den: int, counted: bool, bits: int = 64, weight: int = WEIGHT) -> DataFrame:
     """The rows of ``ngram_join`` with text_hash, and label: the component's node, null for an empty set."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    points = materialize(hashed.mapInArrow(_points(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, digest long, text_hash long, point binary, fine binary"), "points")
-    firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
-    entries = docs.select("doc_id", "text").mapInArrow(_entries(words, num, den), "key long, digest long, spare int")
-    entries = entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").mapInArrow(_shared, "key long, tile int, side int, digest long, spare int, common boolean")
+    points = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_points(words, bits), f"doc_id {kind}, n long, digest long, more long, text_hash long, point binary")
+    points = materialize(points, "points")
+    firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"), F.min("more").alias("more"), F.max("more").alias("most"))
+    firsts = materialize(firsts, "firsts")
+    odd = _clashes(points, firsts)
+    if odd:
+        table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in odd.items()], "c long, m long, other long"))
+        points = points.join(table, (F.col("digest") == F.col("c")) & (F.col("more") == F.col("m")), "left").withColumn("digest", F.coalesce("other", "digest")).drop("c", "m", "other")
+        firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"))
+    entries = docs.select("text").mapInArrow(_entries(words, num, den, bits, odd), "key long, salt int, digest long, spare int")
+    entries = entries.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "digest").mapInArrow(_shared, "key long, digest long, spare int, common boolean")
     entries = materialize(entries, "entries")
-    filed = ["key", "tile", "side", "digest"]
-    common = entries.where("common")
+    common = entries.where("common").withColumn("band", F.col("spare").bitwiseAND(1))
     # Sets with more common blocks than they may leave out stay filed under them.
-    full = common.groupBy("digest", F.col("spare").bitwiseAND(1).alias("more")).agg(F.countDistinct("key").alias("keys"), F.min("spare").alias("least"))
-    full = full.where(F.col("keys") > F.shiftright("least", 1)).select("digest", "more")
-    common = common.withColumn("more", F.col("spare").bitwiseAND(1)).join(full, ["digest", "more"], "left_semi")
-    entries = materialize(entries.where("not common").select(filed).unionByName(common.select(filed)), "filed")
+    full = common.groupBy("digest", "band").agg(F.countDistinct("key").alias("keys"), F.min("spare").alias("least"))
+    full = full.where(F.col("keys") > F.shiftright("least", 1)).select("digest", "band")
+    common = materialize(common.join(full, ["digest", "band"], "left_semi").select("key", "digest").distinct(), "common")
+    crowds = materialize(common.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least")).where(F.col("n") > TILE), "crowds")
+    filed = entries.where("not common").select("key", "digest").distinct().unionByName(common.join(crowds, "key", "left_anti"))
+    filed = materialize(filed, "filed")
     known = points.where("digest is not null").groupBy("digest").agg(F.min("n").alias("n"), F.min("point").alias("point"))
-    known = known.join(entries.select("digest").distinct(), "digest", "left_semi")
-    known = materialize(known, "known")
-
-    def found(labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            rows = entries.join(known, "digest").withColumn("label", F.col("digest"))
-        else:
-            rows = entries.join(known.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest")).drop("node"), "digest")
-            open_ = rows.groupBy("key", "tile").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key", "tile")
-            rows = rows.join(open_, ["key", "tile"], "left_semi")
-        rows = rows.select("key", "tile", "side", "digest", "n", "point", "label")
-        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "tile").sortWithinPartitions("key", "tile")
-        pairs = rows.mapInArrow(_candidates(num, den, labels is None), "u long, v long").distinct()
-        pairs = materialize(pairs, "pairs")
-        fine = points.join(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), "digest", "left_semi")
-        fine = materialize(fine.groupBy("digest").agg(F.min("n").alias("n"), F.min("fine").alias("fine")), "fine")
-        pairs = pairs.join(fine.select(F.col("digest").alias("u"), F.col("n").alias("n_a"), F.col("fine").alias("a")), "u")
-        pairs = pairs.join(fine.select(F.col("digest").alias("v"), F.col("n").alias("n_b"), F.col("fine").alias("b")), "v")
-        pairs = materialize(pairs.mapInArrow(_finer(num, den), "u long, v long"), "pairs")
-        return materialize(_verified(pairs, docs, firsts.select("digest", "doc_id"), words, num, den), "linked")
-
-    links = found(None)
-    labels = materialize(components(links), "labels")
-    more = found(labels)
-    labels = materialize(components(links.unionByName(more)), "labels")
-    nodes = firsts.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest"))
+    known = known.join(filed.select("digest").distinct(), "digest", "left_semi")
+    rows = filed.join(known, "digest").select("key", "digest", "n", "point").repartition(parts, "key").sortWithinPartitions("key")
+    pairs = rows.mapInArrow(_candidates(num, den), "u long, v long")
+    pairs = materialize(pairs.unionByName(common.join(crowds, "key").select(F.col("least").alias("u"), F.col("digest").alias("v"))).distinct(), "pairs")
+    clusters = components(pairs)
+    discard(entries, common, crowds, filed, pairs)
+    wanted = clusters.join(firsts.select("digest", "doc_id", "times"), F.col("node") == F.col("digest")).select(F.col("label").alias("cluster"), "digest", "times", "doc_id")
+    wanted = materialize(wanted, "wanted")
+    near = C.sieve(wanted.select(F.xxhash64("doc_id")))
+    sets = docs.where(near(F.xxhash64("doc_id"))).mapInArrow(_sets(words, bits, odd), "digest long, items array<long>")
+    sets = sets.join(wanted.drop("doc_id"), "digest").dropDuplicates(["digest"])
+    sets = materialize(sets, "sets")
+    forest, many = _links(sets, num, den, counted, weight)
+    labels = components(forest)
+    nodes = firsts.select("digest", "doc_id", "times").join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest"))
     least = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    nodes = nodes.select("digest", "label").join(least, "label").select("digest", "label", "component_id")
-    rows = points.select("doc_id", "n", "digest", "text_hash").join(nodes, "digest", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "text_hash", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = nodes.join(least, "label").join(many.withColumnRenamed("u", "linked"), F.col("digest") == F.col("linked"), "left") if counted else nodes.join(least, "label").withColumn("links", F.lit(0))
+    nodes = nodes.select(F.col("digest").alias("node"), "label", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"))
+    # Written, so that the join below has two exchanges and the rows of a hot set can be split.
+    nodes = materialize(nodes, "nodes")
+    rows = points.select("doc_id", "n", "digest", "text_hash").join(nodes, F.col("digest") == F.col("node"), "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "text_hash", "label", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _clashes(points: DataFrame, firsts: DataFrame) -> dict[tuple[int, int], int]:
+    """Of digests that several sets have: (digest, more bits) of each but one -> a digest of its own."""
+    shared = firsts.where("more <> most").select(F.col("digest").alias("d"), F.col("more").alias("least"))
+    if shared.isEmpty():
+        return {}
+    rows = points.join(shared, F.col("digest") == F.col("d")).where("more <> least").select("digest", "more").distinct().limit(CLASHES + 1).collect()
+    if len(rows) > CLASHES:
+        raise ValueError(f"over {CLASHES} sets share a digest: take more digest_bits")
+    return {(r["digest"], r["more"]): int(C.signed(C.mix(np.array([r["digest"], r["more"]], dtype=np.int64).view(np.uint64), 31).sum(keepdims=True))[0]) for r in rows}
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -407,13 +559,20 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5
 
     Of a component's rows with that doc_id one stays, also where another component has rows of the same doc_id. Rows
     whose doc_id is null stay where it names their component (they cannot be told apart). Texts go by a 64-bit hash.
+    All columns are kept, whatever their names. Only rows that a sieve takes for doubtful cross an exchange.
     """
-    found = _joined(docs, words, num, den)
+    found = materialize(_joined(docs, words, num, den, False), "found")
     one = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).withColumn("one", one)
     named = named.groupBy(F.col("doc_id").alias("keep_id"), "one", F.when(F.col("one"), F.col("label")).otherwise(F.col("text_hash")).alias("part"))
-    keep = named.agg(F.min("text_hash").alias("keep_hash"), F.count(F.lit(1)).alias("copies")).drop("part")
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("keep_hash")))
-    twice = F.col("one") & (F.col("copies") > 1)
-    alone = rows.where(twice).dropDuplicates(["keep_id", "keep_hash"])
-    return rows.where(~twice).unionByName(alone).select(*docs.columns)
+    keep = materialize(named.agg(F.min("text_hash").alias("keep_hash"), F.count(F.lit(1)).alias("copies"), F.min("one").alias("single")).drop("part", "one"), "keep")
+    place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_hash")
+    sure = keep.where(~F.col("single") | (F.col("copies") == 1)).select("keep_id", "keep_hash")
+    lost = found.join(sure, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")), "left_anti")
+    doubtful = C.sieve(lost.select(place))
+    rows = docs.select(C.packed(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    clear = rows.where(~doubtful(place)).select(*C.unpacked("row", docs.columns))
+    rest = rows.where(doubtful(place)).join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")))
+    twice = F.col("single") & (F.col("copies") > 1)
+    alone = rest.where(twice).dropDuplicates(["keep_id", "keep_hash"])
+    return clear.unionByName(rest.where(~twice).unionByName(alone).select(*C.unpacked("row", docs.columns)))
