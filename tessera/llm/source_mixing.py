@@ -1,25 +1,21 @@
 """Mixing sources to target weights by weighted fair queueing, as DataFrame operations only.
 
-Each shuffled document has a virtual finish time: the tokens that its source has sent with it, divided by the
-source's target. Sent in the order of these times, the sources stay in proportion all along, and the mix ends
-where the budget is used up. Times are range-partitioned into slots of equal width, which hold nearly equal
-numbers of tokens; prefix sums of the slots' totals show in which slot the budget ends, and only that is sorted.
-A copy at the end is taken if its middle is sent before the budget ends, so a source is off by half a document.
-Prefix sums inside a source run over hashed runs of it, so that a hot source is not one task's work.
+Each source's documents are shuffled by a hash. A document's copy is sent at a virtual time: the tokens that its
+source has sent by the copy's middle, divided by the source's target. All copies are globally range-sorted by these
+times, so the sources stay in proportion all along, and the queue is cut where the total budget is used up. A copy
+at the end is taken if its middle is sent before the budget ends.
+
+Running sums, inside a source and over the queue, are taken inside range partitions and carried over by the
+partitions' totals, so neither a hot source nor the queue is one task's work. Tables with a row for each source are
+never gathered, so sources may be many.
 """
 
 from __future__ import annotations
 
-import math
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_column
-
-#: Documents in a run of a source, or in a slot of the virtual time, on average.
-RUN_ROWS = 2000
+from tessera.llm.common import materialize, packed, running, text_column, unpacked
 
 
 def word_count(text: Column) -> Column:
@@ -27,91 +23,79 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\x21-\x{10FFFF}\x00-\x08\x0E-\x1F]+")).cast("long")
 
 
-def fair_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, most: float) -> dict[str | None, float]:
-    """Target of each source: ``share`` times all sizes by repeating weights, at most ``most`` times its own size.
+def shuffle_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """60 bits of a digest of seed, id and text."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), text).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2) -> DataFrame:
+    """(source, size), a row for each source -> (source, no, source_size, target).
 
-    Sources go by code point, null last. What is over a source's limit is shared again by weight. The number of
-    sources is a property of the data's make-up, a short list on the driver, not of its volume.
+    Sources go by code point, null last (no: 0, 1, ...), and weigh ``weights``, repeating. Together they get ``share``
+    times all sizes by weight, each at most ``most`` times its own size; what is over a limit is shared again by
+    weight among the others. Each sharing is one aggregate over the table.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    left, free, out = share * sum(size.values()), set(size), {}
-    while free:
-        total = sum(weight[s] for s in free)
-        over = {s for s in free if left * weight[s] / total > most * size[s]}
-        if not over:
-            out |= {s: left * weight[s] / total for s in free}
+    ranked = running(sizes, F.lit(1), [F.col("source").isNull(), F.col("source")], [], "sources")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("before") % len(weights) + 1).cast("int"))
+    known = materialize(ranked.select("source", F.col("before").cast("long").alias("no"), F.col("size").alias("source_size"), weight.alias("weight")), "weighed")
+    size, limit = F.col("source_size"), F.lit(float(most)) * F.col("source_size")
+    total = float(known.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0])
+    over, left, free = F.lit(False), min(share, most) * total, None
+    while True:
+        row = known.agg(F.coalesce(F.sum(F.when(over, limit)), F.lit(0.0)).alias("limits"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("free")).first()
+        if row["free"] == free or not row["free"]:
             break
-        out |= {s: most * size[s] for s in over}
-        left -= sum(out[s] for s in over)
-        free -= over
-    return out
+        free, left = row["free"], min(share, most) * total - row["limits"]
+        over = limit < F.lit(left) * F.col("weight") / F.lit(free)
+    target = F.when(over, limit).otherwise(F.least(limit, F.lit(left) * F.col("weight") / F.lit(free))) if free else limit
+    return known.select("source", "no", "source_size", target.alias("target"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
-    """(doc_id, text, source) -> (doc_id, source, size, source_size, target, copies, taken, finish, row_hash) of every row.
+    """(doc_id, text, source) -> (doc_id, source, size, source_size, target, copies, taken, finish, start, row_hash) of every row.
 
     size: words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0). copies: how often the mix takes the row, 0 to ``most``;
-    taken: that many times its size. finish: the virtual time (1: the budget) at which its first copy is sent.
-    The order of a source is a hash of seed, doc_id and text, so reruns agree; rows equal in both are taken
-    in any order, with equal results as a set. Null sources are one source; empty texts take no words. If all
-    sizes are 0 nothing is taken. An empty table gives an empty table; other columns are ignored.
+    taken: that many times its size. start, finish: virtual times (1: the source's target is sent) between which its
+    first copy is sent. The order of a source is a digest of seed, doc_id and text, so reruns agree; rows equal in
+    both are taken in any order, with equal results as a set. Null sources are one source; empty texts take no
+    words. If all sizes are 0 nothing is taken. An empty table gives an empty table; other columns are ignored.
     """
     text = text_column(docs)
-    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text).alias("row_hash"))
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), shuffle_key(F.col("doc_id"), text, seed).alias("row_hash"))
     base = materialize(base, "sizes")
-    totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()  # a row for each source
-    targets = fair_targets([(r["source"], r["size"]) for r in totals], weights, share, most)
-    rows, budget = sum(r["rows"] for r in totals), sum(targets.values())
-    runs = max(1, math.ceil(rows / RUN_ROWS))
-    known = docs.sparkSession.createDataFrame([(r["source"], r["size"], float(targets[r["source"]]), max(1, math.ceil(r["rows"] / RUN_ROWS))) for r in totals], "known string, source_size long, target double, runs int")
-    base = base.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("known"))).drop("known").withColumn("run", F.pmod("row_hash", F.col("runs")).cast("int"))
-    place = Window.partitionBy("source", "run").orderBy(F.xxhash64("row_hash"), "doc_id")
-    inside = base.withColumn("within", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = base.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
-    sums = sums.select("source", "run", F.coalesce(F.sum("run_size").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    sums = sums.select(F.col("source").alias("s"), F.col("run").alias("r"), "before")
-    timed = inside.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r")), "left")
-    sent = F.coalesce("before", F.lit(0)) + F.col("within")
-    timed = timed.select("doc_id", "source", "size", "source_size", "target", "row_hash", sent.alias("sent"))
-    timed = materialize(timed.withColumn("finish", F.when(F.col("target") > 0, F.col("sent") / F.col("target")).otherwise(0.0)), "timed")
-    epochs = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (F.col("sent") - F.col("size") / 2 + e * F.col("source_size")) / F.col("target"))
-    copies = timed.where((F.col("target") > 0) & (F.col("size") > 0)).select("size", "row_hash", "doc_id", F.explode(epochs).alias("time"))
-    copies = copies.withColumn("slot", F.floor(F.col("time") * runs))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("tokens"))
-    upto = slots.select("slot", "tokens", F.sum("tokens").over(Window.orderBy("slot")).alias("upto")) if runs <= 4096 else _prefix(slots, math.ceil(math.sqrt(runs)))
-    last = upto.where(F.col("upto") > F.lit(budget)).orderBy("slot").first()
-    if last is None:  # the budget takes every copy
-        cut = Decimal(10**9), 0, -1
-    else:
-        room = budget - (last["upto"] - last["tokens"])
-        one = copies.where(F.col("slot") == last["slot"])
-        order = Window.orderBy("time", "row_hash", "doc_id")
-        edge = one.withColumn("used", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") > F.lit(room)).orderBy("time", "row_hash").first()
-        cut = (edge["time"], edge["row_hash"], 0) if edge is not None else ((last["slot"] + 1) / runs, 0, -1)
-    time, tie = float(cut[0]), int(cut[1])
-    before = lambda t: (t < F.lit(time)) | ((t == F.lit(time)) & (F.col("row_hash") < F.lit(tie)))
-    taken = F.when((F.col("target") > 0) & (F.col("size") > 0), F.size(F.filter(epochs, before))).otherwise(0)
-    return timed.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).cast("long").alias("taken"), "finish", "row_hash")
-
-
-def _prefix(slots: DataFrame, width: int) -> DataFrame:
-    """Running totals over very many slots: over groups of slots, then inside each."""
-    slots = slots.withColumn("g", F.floor(F.col("slot") / width))
-    groups = slots.groupBy("g").agg(F.sum("tokens").alias("t"))
-    groups = groups.select("g", (F.sum("t").over(Window.orderBy("g")) - F.col("t")).alias("start"))
-    return slots.join(groups, "g").select("slot", "tokens", (F.col("start") + F.sum("tokens").over(Window.partitionBy("g").orderBy("slot"))).alias("upto"))
-
-
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
-
-    Rows without words take no budget and stay once.
+    known = materialize(source_targets(base.groupBy("source").agg(F.sum("size").alias("size")), weights, share, most), "targets")
+    budget = float(known.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * min(share, most)
+    own = known.withColumnRenamed("source", "known")
+    rows = base.join(own, F.col("source").eqNullSafe(F.col("known"))).drop("known")
+    sent = materialize(running(rows, F.col("size"), ["row_hash", "doc_id"], ["no"], "sent"), "timed")
+    middles = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (F.col("before") + F.col("size") / 2 + e * F.col("source_size")) / F.col("target"))
+    some = (F.col("target") > 0) & (F.col("size") > 0)
+    queue = running(sent.where(some).select("size", "row_hash", F.explode(middles).alias("time")), F.col("size"), ["time", "row_hash"], [], "queue")
+    first = queue.where(F.col("before") + F.col("size") / 2 > F.lit(budget)).orderBy("time", "row_hash").first()  # not taken
+    taken = F.lit(True) if first is None else F.lit(False)
+    inside = (lambda t: (t < F.lit(first["time"])) | ((t == F.lit(first["time"])) & (F.col("row_hash") < F.lit(first["row_hash"])))) if first else (lambda t: taken)
+    copies = F.when(some, F.size(F.filter(middles, inside))).otherwise(0)
+    when = lambda x: F.when(F.col("target") > 0, x / F.col("target")).otherwise(0.0)
+    return sent.select(
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+        when(F.col("before") + F.col("size")).alias("finish"), when(F.col("before")).alias("start"), "row_hash",
+    )
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, queued: bool = False) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``, whatever their names.
+
+    Rows without words take no budget and stay once. ``queued``: range-sorted by the time at which each copy is sent
+    (another exchange of the texts); else in any order.
     """
-    found = mix_sources(docs, weights, share, most)
-    found = found.groupBy(F.col("doc_id").alias("mix_id"), F.col("row_hash").alias("mix_hash")).agg(F.max(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies"))).alias("mix_copies"))
-    hashed = docs.withColumn("mix_row", F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), text_column(docs)))
-    rows = hashed.join(found, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_row") == F.col("mix_hash")))
-    rows = rows.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return rows.select(*(docs[c] for c in docs.columns))
+    found = materialize(mix_sources(docs, weights, share, most, seed), "mixed")
+    period = F.when(F.col("target") > 0, F.col("source_size") / F.col("target")).otherwise(0.0)
+    taken = found.select(F.col("doc_id").alias("mix_id"), F.col("row_hash").alias("mix_hash"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).alias("copies"), "start", period.alias("period"))
+    taken = taken.groupBy("mix_id", "mix_hash").agg(F.max("copies").alias("copies"), F.min("start").alias("start"), F.min("period").alias("period")).where("copies > 0")
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("doc_id"), shuffle_key(F.col("doc_id"), text_column(docs), seed).alias("row_hash"))
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("row_hash") == F.col("mix_hash")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    if queued:
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("time", F.col("start") + F.col("copy") * F.col("period")).repartitionByRange(parts, "time", "row_hash").sortWithinPartitions("time", "row_hash")
+    return rows.select(*unpacked("row", docs.columns))
