@@ -1,33 +1,35 @@
 """Sharding by longest-processing-time scheduling of groups that must stay together.
 
-Groups go, largest first, to the least-loaded shard, through a heap. Groups above a small part of a shard's share
-are scheduled one by one: their number is at most the shards times that part's inverse. All smaller groups are
-hashed to a fixed number of bundles first, and a bundle is scheduled as one group. The heap's input is so bounded
-by parameters, whatever the number of documents, and every group goes as a whole to one shard.
+Groups go, largest first, to the least-loaded shard, through a heap. The scheduler sees size classes only: how many
+groups there are of each size, so its input is bounded by parameters, whatever the number of documents. Sizes below
+FINE have a class each. Larger ones share one with those of the same leading BITS bits, and count with their class's
+mean; what the shards then really hold is counted, and the classes below FINE are scheduled, exactly, on top of it.
+A group finds its shard by its rank in its class.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_column
+from tessera.llm.common import materialize, running, text_column
+from tessera.operators.splits import deal_equal
+
+#: Sizes below which each has a class; leading bits of a larger one's. At most FINE + 64 * 2 ** (BITS - 1) classes.
+FINE, BITS = 1 << 14, 9
+
 
-#: Groups of more than 1 / PARTS of a shard's share are scheduled singly; bundles of smaller ones; rows in a run.
-PARTS, BUNDLES, RUN_ROWS = 500, 8192, 2000
+def longest_first(classes: list[tuple[int, float, int]], loads: list[float]) -> tuple[dict[int, list[int]], list[float]]:
+    """(class, size, number of groups) -> how many each shard gets of each class, and the loads in the end."""
+    dealt = {}
+    for name, size, n in sorted(classes, key=lambda c: (-c[1], c[0])):
+        dealt[name], loads = deal_equal(loads, size, n)
+    return dealt, loads
 
 
-def longest_first(sizes: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Shard of each named size: by size descending (ties by name) to the least-loaded shard (ties to the lowest)."""
-    heap, out = [(0, s) for s in range(shards)], {}
-    for name, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[name] = shard
-        heapq.heappush(heap, (load + size, shard))
-    return out
+def _class(size: Column) -> Column:
+    drop = F.when(size < FINE, 0).otherwise(F.greatest(F.lit(0), F.length(F.bin(size)) - BITS))
+    return F.call_function("shiftleft", F.call_function("shiftright", size, drop), drop)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
@@ -35,26 +37,29 @@ def shard_documents(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Da
 
     size: UTF-8 bytes of the text (null: none) plus ``overhead``; shard sizes come near equal. Rows with equal
     texts (a null text equals an empty one) share group_key and shard. slot: 0, 1, ... in each shard without gaps,
-    ordered by a hash run, then doc_id (nulls first) and group; repeated rows take any of their slots. Empty
-    table: empty result. Other columns are ignored.
+    by doc_id (nulls first), then group; repeated rows take any of their slots. Empty table: empty result. Other
+    columns are ignored.
     """
-    text = text_column(docs)
+    spark, text = docs.sparkSession, text_column(docs)
     raw = text.cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.md5(raw).alias("group_key"))
-    rows = materialize(rows.withColumn("bundle", F.concat(F.lit("b"), F.pmod(F.xxhash64("group_key"), F.lit(BUNDLES)).cast("string"))), "rows")
-    totals = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1, totals[0] // (shards * PARTS))
-    groups = rows.groupBy("group_key", "bundle").agg(F.sum("size").alias("bytes"))
-    item = F.when(F.col("bytes") > least, F.col("group_key")).otherwise(F.col("bundle"))
-    items = groups.groupBy(item.alias("item")).agg(F.sum("bytes").alias("bytes")).collect()  # at most BUNDLES + shards * PARTS
-    placed = longest_first([(r["item"], r["bytes"]) for r in items], shards)
-    table = docs.sparkSession.createDataFrame(list(placed.items()) or [("", 0)], "item string, shard int")
-    single = table.where(~F.col("item").startswith("b") | (F.length("item") == 32)).select(F.col("item").alias("group_key"), F.col("shard").alias("own"))
-    bundled = table.where(F.length("item") < 32).select(F.col("item").alias("bundle"), F.col("shard").alias("shared"))
-    rows = rows.join(F.broadcast(single), "group_key", "left").join(F.broadcast(bundled), "bundle", "left")
-    runs = max(1, math.ceil(totals[1] / shards / RUN_ROWS))
-    rows = rows.withColumn("shard", F.coalesce("own", "shared")).withColumn("run", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(runs)).cast("int")).drop("own", "shared", "bundle")
-    counts = rows.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
-    starts = counts.select("shard", "run", (F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")).alias("before"))
-    slot = F.row_number().over(Window.partitionBy("shard", "run").orderBy("doc_id", "group_key"))
-    return rows.withColumn("row", slot).join(starts, ["shard", "run"]).select("doc_id", "size", "text_crc32", "group_key", "shard", (F.col("before") + F.col("row") - 1).cast("long").alias("slot"))
+    rows = materialize(rows, "rows")
+    groups = rows.groupBy("group_key").agg(F.sum("size").alias("bytes")).withColumn("class", _class(F.col("bytes")))
+    groups = materialize(running(groups, F.lit(1), ["group_key"], ["class"], "groups"), "ranked")
+    classes = groups.groupBy("class").agg((F.sum("bytes") / F.count(F.lit(1))).alias("size"), F.count(F.lit(1)).alias("n")).collect()  # bounded by FINE and BITS
+
+    def placed(some: DataFrame, dealt: dict[int, list[int]]) -> DataFrame:
+        """``some`` groups with their shard: the first that has not yet been given its share of the class."""
+        upto = [(c, [sum(given[: k + 1]) for k in range(shards)]) for c, given in dealt.items()]
+        table = spark.createDataFrame(upto, "known long, upto array<long>")
+        some = some.join(F.broadcast(table), F.col("class") == F.col("known"))
+        return some.withColumn("shard", F.size(F.filter("upto", lambda u: u <= F.col("before")))).select("group_key", "bytes", "shard")
+
+    coarse, _ = longest_first([(r["class"], r["size"], r["n"]) for r in classes if r["class"] >= FINE], [0] * shards)
+    large = materialize(placed(groups.where(F.col("class") >= FINE), coarse), "large")
+    held = {r["shard"]: r["bytes"] for r in large.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()}  # a row a shard
+    fine, _ = longest_first([(r["class"], r["class"], r["n"]) for r in classes if r["class"] < FINE], [held.get(k, 0) for k in range(shards)])
+    # Written, so that the join below has two exchanges and the copies of a hot text can be split.
+    where = materialize(large.unionByName(placed(groups.where(F.col("class") < FINE), fine)).select(F.col("group_key").alias("g"), "shard"), "placed")
+    rows = rows.join(where, F.col("group_key") == F.col("g")).drop("g")
+    return running(rows, F.lit(1), ["doc_id", "group_key"], ["shard"], "slots").select("doc_id", "size", "text_crc32", "group_key", "shard", F.col("before").cast("long").alias("slot"))
