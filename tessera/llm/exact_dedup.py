@@ -3,8 +3,8 @@
 A text is cut where a rolling hash of its last bytes has given bits clear, so equal texts are cut alike. Its recipe
 is the ordered list of its chunks' fast keys. Only texts whose recipe another text has can be equal. The chunks of
 those are deduplicated to verified identifiers: a fast key with several contents gets an identifier for each, told
-apart by the bytes. Texts are equal when their ordered identifier lists are. Texts with a recipe of their own never
-leave their task, and of a group of copies each chunk moves once for each task that has it.
+apart by the bytes. Texts are equal when their ordered identifier lists are. Texts with a recipe of their own stay
+in their task (but for few that a sieve of hashes mistakes), and of equal texts one is looked at.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -85,23 +85,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": pa.array([k for k, _ in found], pa.int64()), "chunk": pa.array([c for _, c in found], pa.binary())})
 
 
-def _identified(variants: list):
+def _identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Recipes of texts with an ambiguous key, in verified identifiers: the variant's number follows the key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                known = {(v["key"], v["chunk"]): v["variant"] for v in one.column("variants")[0].as_py()}
-                data, offsets = C.text_buffer(pc.fill_null(one.column("text"), ""))
-                starts, ends, keys, _ = _chunked(data, offsets)
-                raw = data.tobytes()
-                numbers = [known.get((k, raw[s:e]), 0) for k, s, e in zip(C.signed(keys).tolist(), starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.record_batch({"doc_id": one.column("doc_id"), "text_sha256": one.column("text_sha256"), "numbers": pa.array([numbers], pa.list_(pa.int32()))})
-
-    return run
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            known = {(v["key"], v["chunk"]): v["variant"] for v in one.column("variants")[0].as_py()}
+            data, offsets = C.text_buffer(one.column("text"))
+            starts, ends, keys, _ = _chunked(data, offsets)
+            raw = data.tobytes()
+            numbers = [known.get((k, raw[s:e]), 0) for k, s, e in zip(C.signed(keys).tolist(), starts.tolist(), ends.tolist(), strict=True)]
+            yield pa.record_batch({"text_sha256": one.column("text_sha256"), "numbers": pa.array([numbers], pa.list_(pa.int32()))})
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -111,16 +105,28 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     texts (null only if all are null), kept: this row is the one that stays. Of repeated rows with that doc_id
     exactly one is kept. An empty table gives an empty table; other columns are ignored.
     """
+    again, alone = _grouped(docs)
+    return again.unionByName(alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}))
+
+
+def _place() -> Column:
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_sha256")
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``exact_groups`` whose recipe another row has, and (doc_id, text_sha256, n_bytes, group_key) of the rest."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = C.text_column(docs)
     rows = docs.select("doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
     recipes = materialize(rows.mapInArrow(_recipes, f"doc_id {kind}, text_sha256 string, n_bytes long, recipe array<long>"), "recipes")
     recipes = recipes.withColumn("fast", F.md5(F.concat_ws(",", F.col("n_bytes").cast("string"), F.transform("recipe", lambda k: k.cast("string")))))
-    shared = materialize(recipes.groupBy("fast").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("some_id")).where("n > 1"), "shared")
+    shared = materialize(recipes.groupBy("fast").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     # Candidates: one text for each different content under a shared recipe; their chunks get verified identifiers.
     content = recipes.join(shared.select("fast"), "fast", "left_semi").groupBy("fast", "text_sha256").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(content.select(F.col("doc_id").alias("c_id"), F.col("text_sha256").alias("c_sha")), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_sha256") == F.col("c_sha")))
-    texts = texts.select("doc_id", "text", "text_sha256")
+    content = materialize(content.select("doc_id", "text_sha256"), "content")
+    wanted = C.sieve(content.select(_place()))
+    texts = rows.where(wanted(_place())).join(content.select(F.col("doc_id").alias("c_id"), F.col("text_sha256").alias("c_sha")), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_sha256") == F.col("c_sha")))
+    texts = texts.select("text", "text_sha256")
     chunks = texts.select("text").mapInArrow(_chunks, "key long, chunk binary")
     kinds = chunks.groupBy("key", F.sha2("chunk", 256).alias("chunk_sha"), F.octet_length("chunk").alias("len")).agg(F.first("chunk").alias("chunk"))
     variants = kinds.withColumn("variant", F.row_number().over(Window.partitionBy("key").orderBy("chunk")) - 1)
@@ -129,24 +135,30 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         marked = recipes.withColumn("group_key", F.col("fast"))
     else:
         hit = recipes.select("text_sha256", F.explode("recipe").alias("key")).distinct().join(unclear, "key").groupBy("text_sha256").agg(F.collect_list(F.struct("key", "chunk", "variant")).alias("variants"))
-        numbers = texts.join(hit, "text_sha256").mapInArrow(_identified([]), f"doc_id {kind}, text_sha256 string, numbers array<int>")
+        numbers = texts.join(hit, "text_sha256").mapInArrow(_identified, "text_sha256 string, numbers array<int>")
         numbers = numbers.select("text_sha256", F.concat_ws(",", F.transform("numbers", lambda k: k.cast("string"))).alias("numbers")).dropDuplicates(["text_sha256"])
         marked = recipes.join(numbers, "text_sha256", "left").withColumn("group_key", F.concat_ws("/", "fast", "numbers"))
     marked = marked.select("doc_id", "text_sha256", "n_bytes", "fast", "group_key")
     again = marked.join(shared.select("fast"), "fast", "left_semi")
     # Written, so that both sides of the join are exchanges and a hot group's side of it can be split.
     groups = materialize(again.groupBy(F.col("group_key").alias("g")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    again = again.join(groups, F.col("group_key") == F.col("g")).drop("g")
+    again = again.join(groups, F.col("group_key") == F.col("g")).drop("g", "fast")
     turn = F.row_number().over(Window.partitionBy(F.struct("group_key", "doc_id")).orderBy("text_sha256"))
     again = again.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (turn == 1))
-    alone = marked.join(shared.select("fast"), "fast", "left_anti").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    return again.unionByName(alone).drop("fast")
+    return again, marked.join(shared.select("fast"), "fast", "left_anti").drop("fast")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns: of equal texts the one with the largest doc_id."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"), F.col("group_size"))
-    sha = F.sha2(C.text_column(docs).cast("binary"), 256)
-    rows = docs.withColumn("row_sha", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_sha") == F.col("keep_sha")))
-    once = rows.where("group_size > 1").dropDuplicates(["keep_id", "keep_sha"])
-    return rows.where("group_size = 1").unionByName(once).select(*(docs[c] for c in docs.columns))
+    """The rows of ``docs`` that stay: of equal texts the one with the largest doc_id (of null ids only, any one).
+
+    All columns are kept, whatever their names. Only rows that a sieve takes for copies cross an exchange.
+    """
+    again = materialize(_grouped(docs)[0].select("doc_id", "text_sha256", "kept"), "again")
+    kept = again.where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
+    doubtful = C.sieve(again.select(_place()))
+    gone = again.select(F.col("doc_id").alias("a_id"), F.col("text_sha256").alias("a_sha")).distinct()
+    rows = docs.select(C.packed(docs).alias("row"), F.col("doc_id").alias("doc_id"), F.sha2(C.text_column(docs).cast("binary"), 256).alias("text_sha256"))
+    clear, some = rows.where(~doubtful(_place())), rows.where(doubtful(_place()))
+    alone = some.join(gone, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_sha256") == F.col("a_sha")), "left_anti")
+    once = some.join(kept, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("keep_sha"))).dropDuplicates(["keep_id", "keep_sha"])
+    return clear.unionByName(alone).unionByName(once.select("row", "doc_id", "text_sha256")).select(*C.unpacked("row", docs.columns))
