@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -31,6 +31,8 @@ from tessera.llm.common import U, materialize
 
 GRAM = 32
 KNOWN, WITNESS = 1, 2
+#: Texts with one 64-bit number that are told apart, at most (at 10^10 texts about three are expected); numbers a task remembers.
+CLASHES, MEMORY = 10_000, 1 << 20
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +90,8 @@ def _anchored(length: int):
             place, gram = anchors(data, offsets, length)
             row = np.searchsorted(offsets, place, "right") - 1
             fresh = np.zeros(len(tid), dtype=bool)
+            if len(seen) > MEMORY:  # a text seen again later gives the same places again
+                seen.clear()
             for i, t in enumerate(tid.tolist()):
                 if t not in seen:
                     seen.add(t)
@@ -293,27 +297,51 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+def _short(text: Column, bits: int) -> Column:
+    return F.shiftright(F.xxhash64(text), 64 - bits)
+
+
+def _clashes(rows: DataFrame) -> list[str]:
+    """Digests of texts whose number another text has, but for one of each number."""
+    shared = rows.groupBy(F.col("tid").alias("t")).agg(F.min("sha256").alias("least"), F.max("sha256").alias("most")).where("least <> most")
+    shared = materialize(shared, "clashes")
+    if shared.isEmpty():
+        return []
+    found = rows.join(shared, F.col("tid") == F.col("t")).where("sha256 <> least").select("sha256").distinct().limit(CLASHES + 1).collect()
+    if len(found) > CLASHES:
+        raise ValueError(f"over {CLASHES} texts share a number: take more id_bits")
+    return sorted(r["sha256"] for r in found)
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, id_bits: int = 64) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, n_removed, spans, kept_sha256) of every row.
 
     A text is its UTF-8 bytes (null: none). spans: maximal runs (start, end) of bytes that are in a string of
     ``length`` bytes which also starts elsewhere, in this text or another, as they are on input; n_removed: their
     bytes; kept_sha256: of the other bytes joined. Rows with equal texts repeat each other as a whole if they have
     ``length`` bytes. Shorter texts lose nothing. Repeated rows and null ids are rows like others. An empty
-    table gives an empty table; other columns are ignored. ``length`` must be over GRAM.
+    table gives an empty table; other columns are ignored. ``length`` must be over GRAM. Texts go by ``id_bits`` bits
+    of a hash; those that share them are told apart by SHA-256.
     """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = C.text_column(docs)
-    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tid"))
-    rows = materialize(docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")), "texts")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    docs = docs.select("doc_id", text.alias("text"), _short(text, id_bits).alias("tid"))
+    rows = materialize(docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha256")), "texts")
+    odd = _clashes(rows)
+    if odd:  # texts told apart by their digests get numbers of their own
+        other = lambda tid, digest: F.when(digest.isin(odd), F.xxhash64(digest, F.lit(1))).otherwise(tid)
+        docs, rows = docs.withColumn("tid", other(F.col("tid"), sha)), rows.withColumn("tid", other(F.col("tid"), F.col("sha256")))
     texts = rows.groupBy("tid").agg(F.min("doc_id").alias("some_id"), F.count(F.lit(1)).alias("copies"))
     found = docs.select("tid", "text").mapInArrow(_anchored(length), "gram long, tid long, place long, kind int")
     found = found.repartition(parts, "gram").mapInArrow(_repeated, "tid long, place long")
     places = found.groupBy("tid").agg(F.collect_list("place").alias("places")).join(texts, "tid").select(F.col("tid").alias("p_tid"), "some_id", "places")
-    held = docs.join(places, (F.col("tid") == F.col("p_tid")) & F.col("doc_id").eqNullSafe(F.col("some_id"))).select("tid", "text", "places")
+    places = materialize(places, "places")
+    wanted = C.sieve(places.select("p_tid"))
+    held = docs.where(wanted(F.col("tid"))).join(places, (F.col("tid") == F.col("p_tid")) & F.col("doc_id").eqNullSafe(F.col("some_id"))).select("tid", "text", "places")
     held = materialize(held, "held")
     suffixes = held.mapInArrow(_suffixes(length), "way int, after binary, before binary, tid long, place long, end long")
     half = (length - GRAM) // 2
