@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm import common as C
 
 ORDERS, BITS = (1, 2, 3), 12
-#: Texts of each language that are fitted on, at most (about); landmarks of each; ridge.
-SAMPLE, LANDMARKS, RIDGE = 400, 24, 1e-2
+#: Texts of each language that are fitted on, at most (about), and of all; landmarks of each; ridge.
+SAMPLE, TOTAL, LANDMARKS, RIDGE = 400, 16_000, 24, 1e-2
 
 
 def indicators(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -56,9 +57,11 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_languages(docs: DataFrame, sample: int = SAMPLE) -> bytes:
-    """Fit on about ``sample`` texts at most of each lang, of rows that are not held out."""
+    """Fit on about ``sample`` texts at most of each lang, and TOTAL of all, of rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")) & ~C.held_out())
-    rows = C.bounded_sample(rows.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), sample, "id", "lang")
+    rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    languages = rows.select(F.count_distinct("lang")).first()[0]
+    rows = C.bounded_sample(rows, max(LANDMARKS, min(sample, TOTAL // max(1, languages))), "id", "lang")
     found = rows.repartition(1).mapInArrow(_fitted, "model binary").first()
     return bytes(found["model"]) if found else pickle.dumps(fit(np.zeros((0, 1 << BITS), np.float32), []))
 
@@ -105,13 +108,13 @@ def identify_languages(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with its columns: those identified as ``und`` go."""
+    """The rows of ``docs`` whose text has a language, with its columns, whatever their names: those of ``und`` go."""
     model = docs.sparkSession.sparkContext.broadcast(train_languages(docs, sample))
     names = docs.columns
-    rows = docs.select(F.struct(*(docs[c] for c in names)).alias("row"), has_letter(docs["text"]).alias("has_letter"), docs["text"].cast("string").alias("text"))
+    rows = docs.select(C.packed(docs).alias("row"), has_letter(docs["text"]).alias("has_letter"), docs["text"].cast("string").alias("text"))
 
     def run(batches):
         for b in _predict(model)(batches):
             yield b.filter(pa.compute.not_equal(b.column("lang_pred"), "und")).select(["row"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select(*C.unpacked("row", names))

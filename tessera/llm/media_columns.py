@@ -22,14 +22,63 @@ from pyspark.sql import functions as F
 from tessera.llm import common as C
 from tessera.llm.common import materialize
 
-WIDTH = 64
+#: Samples in a row; digests that a task remembers.
+WIDTH, MEMORY = 64, 1 << 20
 SEGMENT = "array<struct<position:int,kind:string,text:string,ref:string,caption:string>>"
-_TAG = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_PLAIN = re.compile(r"[^<>\"']*")
+_ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+_HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+#: Quoted strings that a tag may have.
+QUOTED = 256
 _MEDIA = {"img", "video", "audio", "source", "embed"}
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "blockquote", "pre", "hr"}
 
 
+def tags(source: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag name, whether it closes, its attributes) in order, the last with an empty name for the rest.
+
+    Comments, and scripts and styles with what is in them, are left out; an unclosed one runs to the end. What looks
+    like a tag but has no end, or over QUOTED quoted strings, is text. Time is in proportion to the page, or to
+    QUOTED times its tags.
+    """
+    text, at, n = [], 0, len(source)
+    open_quote = {'"': True, "'": True}  # whether a further one is to be found
+    while True:
+        start = source.find("<", at)
+        if start < 0:
+            break
+        text.append(source[at:start])
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        name = _NAME.match(source, start)
+        end = name.end() if name else -1
+        for _ in range(QUOTED + 1) if name else ():
+            end = _PLAIN.match(source, end).end()
+            quote = source[end : end + 1]
+            if quote not in open_quote:
+                break
+            close = source.find(quote, end + 1) if open_quote[quote] else -1
+            if close < 0:
+                open_quote[quote], end = False, -1
+                break
+            end = close + 1
+        if end < 0 or source[end : end + 1] != ">":
+            text.append("<")
+            at = start + 1
+            continue
+        tag, closes, at = name[2].lower(), bool(name[1]), end + 1
+        if tag in _HIDDEN and not closes:
+            found = _HIDDEN[tag].search(source, at)
+            at = found.end() if found else n
+            continue
+        yield "".join(text), tag, closes, source[name.end() : end]
+        text.clear()
+    yield "".join([*text, source[at:]]), "", False, ""
+
+
 def parse_html(source: str | None) -> list[dict]:
     """Text runs and media references in document order; a figure's caption goes to its last reference."""
     out: list[dict] = []
@@ -43,27 +92,25 @@ def parse_html(source: str | None) -> list[dict]:
         if run:
             out.append({"position": len(out), "kind": "text", "text": run, "ref": None, "caption": None})
 
-    source, at = source or "", 0
-    for m in _TAG.finditer(source):
-        (text if caption is None else caption).append(source[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    for before, name, closes, attributes in tags(source or ""):
+        (text if caption is None else caption).append(before)
         if name == "figure":
             flush()
             figure = None
         elif name == "figcaption":
-            if not m[2]:
+            if not closes:
                 flush()
                 caption = []
             elif caption is not None:
-                said = " ".join(html.unescape("".join(caption)).split())
-                caption = None
+                said, caption = " ".join(html.unescape("".join(caption)).split()), None
                 if figure is not None:
                     out[figure]["caption"] = said
                 elif said:
                     out.append({"position": len(out), "kind": "text", "text": said, "ref": None, "caption": None})
-        elif name in _MEDIA and not m[2]:
-            has = {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTRIBUTE.findall(m[4])}
+        elif name in _MEDIA and not closes:
+            has: dict[str, str] = {}
+            for k, a, b, c in _ATTRIBUTE.findall(attributes):
+                has.setdefault(k.lower(), html.unescape(a or b or c or ""))
             if has.get("src"):
                 if caption is None:
                     flush()
@@ -71,7 +118,7 @@ def parse_html(source: str | None) -> list[dict]:
                 figure = len(out) - 1
         elif name in _BLOCK and caption is None:
             text.append("\n")
-    text.extend([*(caption or []), source[at:]])
+    text.extend(caption or [])
     flush()
     return out
 
@@ -86,12 +133,21 @@ def interleave(pages: DataFrame, id_column: str, html_column: str = "html") -> D
     """(id, html) -> (id, segments) of every row: ordered structs (position, kind, text, ref, caption).
 
     kind is ``text`` or ``media``; a reference's caption is its figure's caption, else its alt text, else null.
-    Null or empty HTML gives an empty array; broken tags are text. Scripts, styles and comments are left out.
+    Null or empty HTML gives an empty array; broken tags are text. Scripts, styles and comments are left out. Repeated
+    and null ids are rows like others.
     """
     rows = pages.select(F.col(id_column).alias("id"), F.col(html_column).cast("string").alias("html"))
     return rows.mapInArrow(_parsed, f"id {rows.schema['id'].dataType.simpleString()}, segments {SEGMENT}").withColumnRenamed("id", id_column)
 
 
+def page_sequences(pages: DataFrame) -> DataFrame:
+    """(page_id, html) -> (page_id, position, kind, text, ref, caption): the sequences of ``interleave``, a row for each segment.
+
+    A page without segments has no row; repeated rows give repeated results; other columns are ignored.
+    """
+    return interleave(pages, "page_id").select("page_id", F.inline("segments"))
+
+
 def encode_media(raw: bytes) -> bytes:
     """8-bit gray PGM of rows of WIDTH samples; bytes 0 fill the last row (one row at least)."""
     rows = max(1, -(-len(raw) // WIDTH))
@@ -112,6 +168,8 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in C.text_blocks(batches):
         raw, at = data.tobytes(), offsets.tolist()
         rows = []
+        if len(seen) > MEMORY:  # a payload seen again later is stored again, and dropped where features are joined
+            seen.clear()
         for i, digest in enumerate(part.column("digest").to_pylist()):
             if digest not in seen:
                 seen.add(digest)

@@ -3,48 +3,47 @@
 Texts are tokenized where they are read. What has to be packed is then only a histogram: how many pieces there
 are of each length, at most as many numbers as a sequence has tokens. The packer fixes dominating sets, packs the
 remainder best-fit, and returns patterns (a list of lengths and how often it is used). Pieces find their place by
-their rank among pieces of equal length, which is counted in two levels, so no length is one task's work.
+their rank among pieces of equal length, which is counted over range partitions, so no length is one task's work.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 from tessera.llm.common import materialize
 
-#: Pieces in a run of one length, on average.
-RUN_ROWS = 2000
-
-
 def reduce_dominated(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Martello-Toth dominance on a histogram (``counts[l]`` pieces of length l, changed in place).
 
     Fixes sets that dominate every other set with their largest piece: a piece that nothing fits beside; a pair
-    that fills a sequence; a pair with the largest partner that fits, where no two pieces fit together.
+    that fills a sequence; a pair with the largest partner that fits, where no two pieces fit together, or where no
+    three do and no two that fit are together longer than that partner.
     """
     out = []
     for a in range(size, 0, -1):
         while counts[a]:
             room = size - a
-            own = 1 if room >= a else 0  # a itself may be its own partner
+            counts[a] -= 1  # the piece itself
             fits = np.flatnonzero(counts[1 : room + 1]) + 1
-            if own and counts[a] == 1:
-                fits = fits[fits != a]
             if not len(fits):
+                counts[a] += 1
                 out.append(((a,), int(counts[a])))
                 counts[a] = 0
                 break
-            b, least = int(fits[-1]), int(fits[0])
-            second = least if counts[least] - (least == a) > 1 else int(fits[1]) if len(fits) > 1 else size
-            if b != room and least + second <= room:
+            b = int(fits[-1])
+            small = np.repeat(fits[:3], np.minimum(counts[fits[:3]], 3))[:3]
+            two = len(small) > 1 and small[0] + small[1] <= room
+            three = len(small) > 2 and small.sum() <= room
+            best = _best_pair(counts, fits, room) if two and not three and b != room else 0
+            counts[a] += 1
+            if b != room and two and (three or best > b):
                 break
             n = int(counts[a]) // 2 if a == b else int(min(counts[a], counts[b]))
             out.append(((a, b), n))
@@ -53,6 +52,19 @@ def reduce_dominated(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...
     return out
 
 
+def _best_pair(counts: np.ndarray, fits: np.ndarray, room: int) -> int:
+    """The largest sum of two pieces that fit together."""
+    best, high = 0, len(fits) - 1
+    for low in range(len(fits)):
+        while high >= 0 and fits[low] + fits[high] > room:
+            high -= 1
+        k = high if high != low or counts[fits[low]] > 1 else high - 1
+        if k < low:
+            break
+        best = max(best, int(fits[low] + fits[k]))
+    return best
+
+
 def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Longest pieces first, each into the fullest open sequence it fits in; equal steps are taken together."""
     open_: dict[int, list[list]] = {}  # room left -> [pattern, how many]
@@ -173,15 +185,11 @@ def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2, files: tu
             used[length] += times
             at += length
         sequence += times
-    assert used == many, "each piece has one place"
+    if used != many:
+        raise RuntimeError("the packer has not placed each piece once")
     table = spark.createDataFrame(spans or [(0, 0, 0, 0, 0)], "length long, low long, high long, first long, offset long")
     table = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "first", "offset"))).alias("spans"))
-    runs = spark.createDataFrame([(k, max(1, math.ceil(n / RUN_ROWS))) for k, n in counts] or [(0, 1)], "length long, runs int")
-    pieces = pieces.join(F.broadcast(runs), "length").withColumn("run", F.pmod(F.xxhash64("doc_id", "piece"), F.col("runs")).cast("int")).drop("runs")
-    sums = pieces.groupBy("length", "run").agg(F.count(F.lit(1)).alias("n"))
-    sums = sums.select("length", "run", (F.sum("n").over(Window.partitionBy("length").orderBy("run")) - F.col("n")).alias("before"))
-    order = F.row_number().over(Window.partitionBy("length", "run").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("row", order).join(sums, ["length", "run"]).withColumn("rank", F.col("before") + F.col("row"))
+    ranked = C.running(pieces, F.lit(1), [F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32"], ["length"], "ranked").withColumnRenamed("before", "rank")
     placed = ranked.join(F.broadcast(table), "length").withColumn("place", _lookup(F.col("spans"), F.col("rank")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("place.first") + F.col("rank") - F.col("place.low")).alias("sequence_id"), F.col("place.offset").alias("offset"))
 

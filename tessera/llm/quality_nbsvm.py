@@ -91,7 +91,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> b
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").cast("int").alias("y"))
     known = marks.where(~C.held_out("label_id"))
     known = C.bounded_sample(known, sample, "label_id")
-    rows = docs.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     grams = rows.mapInArrow(_features, f"doc_id {kind}, y int, grams array<int>")
     found = grams.repartition(1).mapInArrow(_train, "model binary").first()

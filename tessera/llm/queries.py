@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import documents
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.language_kernel import identify_languages
-from tessera.llm.license_scan import license_scan
-from tessera.llm.media_columns import document_media
+from tessera.llm.license_scan import license_scan, license_sql
+from tessera.llm.media_columns import document_media, page_sequences
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality_nbsvm import score_quality
@@ -19,7 +19,7 @@ from tessera.llm.suffix_dedup import repeated_spans
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(documents(spark, sf_dir), words=3, num=9, den=10)
+    return ngram_join(documents(spark, sf_dir), words=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "finish")
+    return mix_sources(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2).select("doc_id", "size", "source_size", "target", "taken", "finish")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def media_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_sequences(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), size=1024, end_id=2)
 
@@ -61,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_suffix_dedup, op7_quality_classifier, op8_media_columns, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_suffix_dedup, op7_quality_classifier, op8_media_columns, op9_best_fit_packing, op10_language_id, media_of_pages)}
 
 _OP1 = r"""
 WITH RECURSIVE words AS (
@@ -77,7 +81,8 @@ WITH RECURSIVE words AS (
   SELECT u, v FROM common JOIN sizes p ON p.doc_id = u JOIN sizes q ON q.doc_id = v WHERE 100 * i >= 90 * (p.n + q.n - i)
 ), ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links
 ), reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, w.v FROM reach r JOIN ways w ON r.b = w.u)
-SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY 1, 2
+SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id, (SELECT count(*) FROM ways w WHERE w.u = s.doc_id) AS n_links
+FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY 1, 2
 """
 
 _OP5 = """
@@ -86,5 +91,31 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM t WINDOW g AS (PARTITION BY text)
 """
 
+#: Least sharing of the excess: sources in order of what they may have for their weight, those before the cut at their limit.
+_OP3 = r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), keyed AS (SELECT doc_id, source, size, CAST('0x' || substr(md5('17/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || text), 1, 15) AS BIGINT) AS key FROM base
+), sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM base GROUP BY source
+), weighed AS (SELECT *, CAST([3.0, 1.0, 2.0][CAST(no % 3 AS INTEGER) + 1] AS DOUBLE) AS weight, 2.0 * size AS most FROM sizes
+), steps AS (
+  SELECT *, coalesce(sum(most) OVER w, 0) AS over, (SELECT sum(weight) FROM weighed) - coalesce(sum(weight) OVER w, 0) AS free FROM weighed
+  WINDOW w AS (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT CAST((SELECT 1.5 * sum(size) FROM sizes) - over AS DOUBLE) AS left_, CAST(free AS DOUBLE) AS free FROM steps
+  WHERE most >= ((SELECT 1.5 * sum(size) FROM sizes) - over) * weight / free ORDER BY most / weight, no LIMIT 1
+), targets AS (SELECT source, no, size AS source_size, least(most, left_ * weight / free) AS target FROM weighed, cut
+), sent AS (
+  SELECT k.doc_id, k.size, k.key, t.source_size, t.target, sum(k.size) OVER (PARTITION BY t.no ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) - k.size AS before
+  FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
+), queue AS (
+  SELECT doc_id, key, e, size, (before + size / 2.0 + e * source_size) / target AS time FROM sent, (SELECT unnest([0, 1]) AS e) WHERE target > 0 AND size > 0
+), used AS (
+  SELECT *, sum(size) OVER (ORDER BY time, key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM queue
+), taken AS (SELECT doc_id, key, count(*) AS copies FROM used WHERE before + size / 2.0 <= (SELECT 1.5 * sum(size) FROM sizes) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken, CASE WHEN target > 0 THEN (before + size) / target ELSE 0.0 END AS finish
+FROM sent LEFT JOIN taken USING (doc_id, key)
+"""
+
 #: The other operators depend on hashes, fitted models, tokenizers or sequential packing, and are tested against brute force.
-ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1, "op5_exact_dedup": _OP5}
+ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1, "op2_license_scan": license_sql(), "op3_source_mixing": _OP3, "op5_exact_dedup": _OP5}
