@@ -294,8 +294,8 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bi
 FEW = 1000
 
 
-def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id", group: str | None = None) -> DataFrame:
-    """About ``most`` rows at most (of each group), chosen by a hash of ``key``; all rows if there are no more."""
+def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id", group: str | None = None, total: int | None = None) -> DataFrame:
+    """About ``most`` rows at most (of each group, and ``total`` of all), chosen by a hash of ``key``; all rows if there are no more."""
     million = 1_000_000
     chance = F.pmod(F.xxhash64(F.lit(5), F.col(key).cast("string")), F.lit(million))
     if group is None:
@@ -303,7 +303,9 @@ def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id", group: str |
         return rows if n <= most else rows.where(chance < int(million * most / n))
     counts = rows.groupBy(F.col(group).alias("sample_group")).agg((F.lit(million * most) / F.count(F.lit(1))).alias("sample_part"))
     parts = counts.limit(FEW + 1).collect()
+    groups = len(parts) if len(parts) <= FEW else counts.count()
+    share = min(1.0, total / (most * groups)) if total and groups else 1.0
     if len(parts) <= FEW:  # few groups: their parts travel with the plan
-        rows = rows.where(chance < max([r["sample_part"] for r in parts], default=0.0))
+        rows = rows.where(chance < share * max([r["sample_part"] for r in parts], default=0.0))
         counts = F.broadcast(rows.sparkSession.createDataFrame(parts, counts.schema))
-    return rows.join(counts, rows[group] == counts["sample_group"]).where(chance < F.col("sample_part")).drop("sample_group", "sample_part")
+    return rows.join(counts, rows[group] == counts["sample_group"]).where(chance < F.lit(share) * F.col("sample_part")).drop("sample_group", "sample_part")

@@ -60,8 +60,7 @@ def train_languages(docs: DataFrame, sample: int = SAMPLE) -> bytes:
     """Fit on about ``sample`` texts at most of each lang, and TOTAL of all, of rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")) & ~C.held_out())
     rows = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    languages = rows.select(F.count_distinct("lang")).first()[0]
-    rows = C.bounded_sample(rows, max(LANDMARKS, min(sample, TOTAL // max(1, languages))), "id", "lang")
+    rows = C.bounded_sample(rows, sample, "id", "lang", TOTAL)
     found = rows.repartition(1).mapInArrow(_fitted, "model binary").first()
     return bytes(found["model"]) if found else pickle.dumps(fit(np.zeros((0, 1 << BITS), np.float32), []))
 

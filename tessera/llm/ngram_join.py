@@ -36,7 +36,7 @@ GROUPS, FANOUT = 256, 16
 #: Sets above which an entry is common; above which its sets are candidates of each other without a bound.
 COMMON, TILE = 32, 1024
 #: Shingles (and GROUPS for each set) that a side of a verification task holds; a larger cluster is dealt to several.
-WEIGHT = 1 << 20
+WEIGHT = 1 << 21
 #: Sets of a component that meet the other components' when a cluster of several tasks is joined up (about).
 ENVOYS = 16
 #: Entries that a task looks at together for keys that many of them have; digests it remembers.
@@ -420,10 +420,11 @@ def _verified(num: int, den: int, counted: bool):
     return run
 
 
-def _dealt(sets: DataFrame, num: int, den: int, counted: bool) -> DataFrame:
-    """Verify tasks: rows (cluster, i, j, side, digest, label, times, items)."""
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.select("cluster", "i", "j", "side", "digest", "label", "times", "items").repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+def _dealt(plan: DataFrame, num: int, den: int, counted: bool, items: DataFrame | None = None) -> DataFrame:
+    """Verify tasks: rows (cluster, i, j, side, digest, label, times), with items or with those of a table (digest, items)."""
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = plan if items is None else plan.join(items.select("digest", "items"), "digest")
+    rows = rows.select("cluster", "i", "j", "side", "digest", "label", "times", "items").repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return materialize(rows.mapInArrow(_verified(num, den, counted), "u long, v long, links long"), "verified")
 
 
@@ -431,49 +432,48 @@ def _tile(tiles: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64("digest", F.lit(salt)), tiles).cast("int")
 
 
-def _tiles(rows: DataFrame, weight: int, name: str) -> DataFrame:
-    """(cluster, name): tasks that a cluster's sets are dealt to."""
-    return rows.groupBy("cluster").agg(F.ceil(F.sum(F.size("items") + F.lit(GROUPS)) / F.lit(weight)).cast("int").alias(name))
+def _tiled(rows: DataFrame, weight: int, name: str, salt: int = 0) -> DataFrame:
+    """Rows (cluster, digest, n) with the number of tiles of their cluster, and their tile in ``name``."""
+    tiles = rows.groupBy(F.col("cluster").alias("c")).agg(F.ceil(F.sum(F.col("n") + GROUPS) / F.lit(weight)).cast("int").alias("tiles"))
+    return rows.drop("tiles").join(tiles, F.col("cluster") == F.col("c")).drop("c").withColumn(name, _tile(F.col("tiles"), salt))
 
 
 def _links(sets: DataFrame, num: int, den: int, counted: bool, weight: int) -> tuple[DataFrame, DataFrame]:
-    """(cluster, digest, times, items) -> a spanning forest (u, v) of the links, and (u, links) if ``counted``.
+    """(cluster, tiles, tile, digest, times, n, items) -> a spanning forest (u, v) of the links, and (u, links) if ``counted``.
 
     A cluster of at most ``weight`` is one task. Larger ones are dealt to tiles. To count links each pair of tiles
     is a task, as every pair of sets has to be compared. Else the tiles are joined up first: some sets of
     each component meet, as long as that links many; then only sets outside their cluster's largest component are
-    compared with all.
+    compared with all. Rounds are planned without the sets' items, which join the plan in the end.
     """
-    sets = sets.withColumn("label", F.col("digest"))
-    sets = sets.join(_tiles(sets, weight, "tiles"), "cluster").withColumn("tile", _tile(F.col("tiles"), 0))
-    here = sets.withColumns({"i": F.col("tile"), "j": F.col("tile"), "side": F.lit(3)})
+    here = sets.withColumns({"label": F.col("digest"), "i": F.col("tile"), "j": F.col("tile"), "side": F.lit(3)})
     if counted:
-        across = sets.withColumn("o", F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: o != F.col("tile"))))
+        across = here.where("tiles > 1").withColumn("o", F.explode(F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: o != F.col("tile"))))
         across = across.withColumns({"i": F.least("tile", "o"), "j": F.greatest("tile", "o"), "side": F.when(F.col("tile") < F.col("o"), 1).otherwise(2)})
         found = _dealt(here.unionByName(across.drop("o")), num, den, True)
         return found.where("v is not null").select("u", "v"), found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     found = _dealt(here, num, den, False).select("u", "v")
-    large = sets.where("tiles > 1").drop("label", "tile")
+    large = sets.where("tiles > 1").select("cluster", "tiles", "digest", "times", "n")
     if large.isEmpty():
         return found, found.limit(0)
-    large = materialize(large, "large")
     for salt in range(1, 100):
         labels = components(found)
         now = large.join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest")).drop("node")
         sizes = materialize(now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("many")), "sizes")
         apart = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("many", "label"))["label"].alias("main")).where("labels > 1")
-        now = now.join(apart, "cluster")
-        some = now.join(sizes.select("cluster", "label", "many"), ["cluster", "label"]).where(F.pmod(F.xxhash64("digest", F.lit(-salt)), F.greatest(F.lit(1), F.floor(F.col("many") / ENVOYS))) == 0).drop("many", "tiles")
-        some = some.join(_tiles(some, weight, "tiles"), "cluster").withColumn("i", _tile(F.col("tiles"), salt)).withColumns({"j": F.col("i"), "side": F.lit(3)})
-        more = _dealt(some, num, den, False).select("u", "v")
+        now = materialize(now.join(apart, "cluster").join(sizes, ["cluster", "label"]), "now")
+        some = now.where(F.pmod(F.xxhash64("digest", F.lit(-salt)), F.greatest(F.lit(1), F.floor(F.col("many") / ENVOYS))) == 0)
+        some = _tiled(some, weight, "i", salt).withColumns({"j": F.col("i"), "side": F.lit(3)})
+        more = _dealt(some, num, den, False, sets).select("u", "v")
         found = found.unionByName(more)
         if 10 * more.count() < sizes.count():  # few are left that envoys can join
             break
     minor = now.where("label <> main")
-    cross = _tiles(minor, weight, "lefts")
-    left = minor.join(cross, "cluster").withColumn("i", _tile(F.col("lefts"), 0)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1))
-    right = now.join(cross, "cluster").withColumn("j", _tile(F.col("tiles"), 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(2))
-    return found.unionByName(_dealt(left.unionByName(right), num, den, False).select("u", "v")), found.limit(0)
+    left = _tiled(minor, weight, "i").drop("tiles")
+    lefts = left.groupBy("cluster").agg((F.max("i") + 1).alias("lefts"))
+    left = left.join(now.select("cluster", "tiles").distinct(), "cluster").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1)).drop("tiles")
+    right = now.join(lefts, "cluster").withColumn("j", _tile(F.col("tiles"), 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(2)).drop("lefts", "tiles")
+    return found.unionByName(_dealt(left.unionByName(right), num, den, False, sets).select("u", "v")), found.limit(0)
 
 
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, digest_bits: int = 64, weight: int = WEIGHT) -> DataFrame:
@@ -525,8 +525,8 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, counted: bool, bits
     pairs = materialize(pairs.unionByName(common.join(crowds, "key").select(F.col("least").alias("u"), F.col("digest").alias("v"))).distinct(), "pairs")
     clusters = components(pairs)
     discard(entries, common, crowds, filed, pairs)
-    wanted = clusters.join(firsts.select("digest", "doc_id", "times"), F.col("node") == F.col("digest")).select(F.col("label").alias("cluster"), "digest", "times", "doc_id")
-    wanted = materialize(wanted, "wanted")
+    wanted = clusters.join(firsts.select("digest", "doc_id", "times", "n"), F.col("node") == F.col("digest")).select(F.col("label").alias("cluster"), "digest", "times", "doc_id", "n")
+    wanted = materialize(_tiled(wanted, weight, "tile"), "wanted")
     near = C.sieve(wanted.select(F.xxhash64("doc_id")))
     sets = docs.where(near(F.xxhash64("doc_id"))).mapInArrow(_sets(words, bits, odd), "digest long, items array<long>")
     sets = sets.join(wanted.drop("doc_id"), "digest").dropDuplicates(["digest"])
