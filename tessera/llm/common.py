@@ -6,6 +6,8 @@ for a word. ``text_blocks`` bounds what a kernel sees at once, whatever the Arro
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -174,8 +176,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def trim() -> None:
+    """Give back what earlier tasks of this worker have freed: workers live on, and the allocators would keep each one's peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = BLOCK_BYTES):
     """Yield (slice of the batch, bytes, offsets) with at most ``most`` bytes, or one longer text."""
+    trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -190,6 +200,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", most: int
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Of rows sorted by ``names``: tables of whole groups, with the places where groups begin, and the end."""
+    trim()
     rest: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:

@@ -177,8 +177,8 @@ def _entries(words: int, num: int, den: int, bits: int, odd: dict):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of entries sorted by key, salt and digest: those that hold two sets or more.
 
-    An entry's key then is the hash of its sets, so that entries with the same sets are one; a common entry's,
-    which sets may leave, stays its own.
+    An entry's key then is the hash of its sets, so that entries with the same sets are one (``times``: of how many);
+    a common entry's, which sets may leave, stays its own.
     """
     for rows, cut in C.whole_groups(batches, ["key", "salt"]):
         key, salt, digest, spare = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "salt", "digest", "spare"))
@@ -188,12 +188,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, salt, digest, spare = key[once], salt[once], digest[once], spare[once]
         count = np.bincount(entry)
         common = (count > COMMON) | (salt[np.cumsum(count) - count] > 0)
-        alike = C.signed(C.mix(C.sums_by(entry, C.mix(digest.view(np.uint64), 21), len(count)) + count.astype(np.uint64)))
-        _, first = np.unique(alike, return_index=True)
-        told = np.zeros(len(count), dtype=bool)
-        told[first] = True
-        keep = (common | ((count > 1) & told))[entry]
-        yield pa.record_batch({"key": pa.array(np.where(common[entry], key, alike[entry])[keep]), "digest": pa.array(digest[keep]), "spare": pa.array(spare[keep]), "common": pa.array(common[entry][keep])})
+        alike = C.signed(C.mix(C.sums_by(entry, C.mix(digest.view(np.uint64) * U(2) + (spare & 1).astype(np.uint64), 21), len(count)) + count.astype(np.uint64)))
+        few = np.flatnonzero(~common & (count > 1))
+        _, first, many = np.unique(alike[few], return_index=True, return_counts=True)
+        times = common.astype(np.int32)
+        times[few[first]] = many
+        keep = (times > 0)[entry]
+        yield pa.record_batch({
+            "key": pa.array(np.where(common[entry], key, alike[entry])[keep]), "digest": pa.array(digest[keep]), "spare": pa.array(spare[keep]),
+            "common": pa.array(common[entry][keep]), "times": pa.array(times[entry][keep]),
+        })
 
 
 class RTree:
@@ -453,7 +457,8 @@ def _links(sets: DataFrame, num: int, den: int, counted: bool, weight: int) -> t
         found = _dealt(here.unionByName(across.drop("o")), num, den, True)
         return found.where("v is not null").select("u", "v"), found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     found = _dealt(here, num, den, False).select("u", "v")
-    large = sets.where("tiles > 1").select("cluster", "tiles", "digest", "times", "n")
+    items = sets.where("tiles > 1")
+    large = items.select("cluster", "tiles", "digest", "times", "n")
     if large.isEmpty():
         return found, found.limit(0)
     for salt in range(1, 100):
@@ -464,7 +469,7 @@ def _links(sets: DataFrame, num: int, den: int, counted: bool, weight: int) -> t
         now = materialize(now.join(apart, "cluster").join(sizes, ["cluster", "label"]), "now")
         some = now.where(F.pmod(F.xxhash64("digest", F.lit(-salt)), F.greatest(F.lit(1), F.floor(F.col("many") / ENVOYS))) == 0)
         some = _tiled(some, weight, "i", salt).withColumns({"j": F.col("i"), "side": F.lit(3)})
-        more = _dealt(some, num, den, False, sets).select("u", "v")
+        more = _dealt(some, num, den, False, items).select("u", "v")
         found = found.unionByName(more)
         if 10 * more.count() < sizes.count():  # few are left that envoys can join
             break
@@ -473,7 +478,7 @@ def _links(sets: DataFrame, num: int, den: int, counted: bool, weight: int) -> t
     lefts = left.groupBy("cluster").agg((F.max("i") + 1).alias("lefts"))
     left = left.join(now.select("cluster", "tiles").distinct(), "cluster").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("side", F.lit(1)).drop("tiles")
     right = now.join(lefts, "cluster").withColumn("j", _tile(F.col("tiles"), 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(2)).drop("lefts", "tiles")
-    return found.unionByName(_dealt(left.unionByName(right), num, den, False, sets).select("u", "v")), found.limit(0)
+    return found.unionByName(_dealt(left.unionByName(right), num, den, False, items).select("u", "v")), found.limit(0)
 
 
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, digest_bits: int = 64, weight: int = WEIGHT) -> DataFrame:
@@ -508,9 +513,13 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, counted: bool, bits
         points = points.join(table, (F.col("digest") == F.col("c")) & (F.col("more") == F.col("m")), "left").withColumn("digest", F.coalesce("other", "digest")).drop("c", "m", "other")
         firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"))
     entries = docs.select("text").mapInArrow(_entries(words, num, den, bits, odd), "key long, salt int, digest long, spare int")
-    entries = entries.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "digest").mapInArrow(_shared, "key long, digest long, spare int, common boolean")
-    entries = materialize(entries, "entries")
-    common = entries.where("common").withColumn("band", F.col("spare").bitwiseAND(1))
+    entries = entries.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "digest").mapInArrow(_shared, "key long, digest long, spare int, common boolean, times int")
+    entries = materialize(entries.withColumn("band", F.col("spare").bitwiseAND(1)), "entries")
+    # A linked pair has more equal blocks than the slack, so a set with fewer shared entries has no link in that band.
+    able = entries.groupBy("digest", "band").agg(F.sum("times").alias("shared"), F.min("spare").alias("least")).where(F.col("shared") > F.shiftright("least", 1))
+    every, entries = entries, materialize(entries.join(able.select("digest", "band"), ["digest", "band"], "left_semi"), "able")
+    discard(every)
+    common = entries.where("common")
     # Sets with more common blocks than they may leave out stay filed under them.
     full = common.groupBy("digest", "band").agg(F.countDistinct("key").alias("keys"), F.min("spare").alias("least"))
     full = full.where(F.col("keys") > F.shiftright("least", 1)).select("digest", "band")

@@ -142,6 +142,7 @@ _loaded: dict[tuple, Tokens] = {}
 
 def _pieces(files: tuple[str, str | None] | None, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.trim()
         where = files or default_files()
         tokens = _loaded.get(where) or _loaded.setdefault(where, Tokens(*where))
         for batch in batches:
