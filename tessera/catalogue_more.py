@@ -26,7 +26,7 @@ def keyword_score(spark, sf_dir):
 _N = [" + ".join(f"CAST({_has(k)} AS INT)" for k in words) for words in _KINDS.values()]
 
 
-@query(f"WITH c AS (SELECT p_partkey, {', '.join(f'({n}) AS n{i}' for i, n in enumerate(_N))} FROM part) SELECT p_partkey, CASE WHEN greatest(n0, n1, n2) = 0 THEN 'other' WHEN n0 = greatest(n0, n1, n2) THEN 'fasteners' WHEN n1 = greatest(n0, n1, n2) THEN 'rings' ELSE 'plates' END AS category FROM c")
+@query(f"WITH c AS (SELECT p_partkey, {', '.join(f'({n}) AS n{i}' for i, n in enumerate(_N))} FROM part) SELECT p_partkey, CASE WHEN greatest(n0, n1, n2) = 0 THEN 'uncategorized' WHEN n0 = greatest(n0, n1, n2) THEN 'fasteners' WHEN n1 = greatest(n0, n1, n2) THEN 'rings' ELSE 'plates' END AS category FROM c")
 def category_classify(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", crawl.category(F.col("p_name"), _KINDS).alias("category"))
 
@@ -134,7 +134,7 @@ def decision_crosstab(spark, sf_dir):
 @query()
 def note_match(spark, sf_dir):
     notes = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("k"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("note"))
-    return matching.match_notes(notes.withColumn("note", F.regexp_replace("note", "^s", "z")), notes, "k")
+    return matching.match_notes(notes.withColumn("note", F.regexp_replace("note", "^s", "z")), notes, "k", 0.3)
 
 
 @query("SELECT user_id, value AS last_value FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

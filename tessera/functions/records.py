@@ -78,7 +78,10 @@ def _scalar(text: str) -> object:
         return text.lower() == "true"
     for kind in (int, float):
         if re.fullmatch(r"[+-]?\d+" if kind is int else r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text):
-            return kind(text)
+            try:
+                return kind(text)
+            except ValueError:  # more digits than Python converts
+                return text
     return text
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -73,13 +74,24 @@ def answer_json(text: str | None) -> dict | None:
     for part in ([fenced[1]] if fenced else []) + [balanced_json(text), text]:
         try:
             found = json.loads(part)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             continue
         if isinstance(found, dict):
             return found
     return None
 
 
+def _confidence(found: dict | None) -> float:
+    """What an answer says, 0.5 where it says nothing that is a finite number; 0.4 without an answer."""
+    if found is None:
+        return 0.4
+    try:
+        said = float(found.get("confidence"))
+    except (TypeError, ValueError, OverflowError):
+        return 0.5
+    return said if math.isfinite(said) else 0.5
+
+
 def parse_answers(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, doc, confidence): what does not parse keeps its first 200 characters at confidence 0.4."""
 
@@ -87,6 +99,6 @@ def parse_answers(rows: DataFrame, key: str, column: str) -> DataFrame:
         for b in batches:
             found = [answer_json(t) for t in b[column]]
             doc = [json.dumps(f, sort_keys=True) if f is not None else json.dumps({"suggested": (t or "")[:200]}) for f, t in zip(found, b[column], strict=True)]
-            yield pd.DataFrame({key: b[key], "doc": doc, "confidence": [float(f.get("confidence", 0.5)) if f is not None else 0.4 for f in found]})
+            yield pd.DataFrame({key: b[key], "doc": doc, "confidence": [_confidence(f) for f in found]})
 
     return rows.select(key, column).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, doc string, confidence double")

@@ -27,7 +27,7 @@ def include_score(text: Column, weights: dict[str, int]) -> Column:
     return reduce(lambda a, b: a + b, (F.when(present(text, k), w).otherwise(0) for k, w in weights.items()))
 
 
-def category(text: Column, keywords: dict[str, list[str]], other: str = "other") -> Column:
+def category(text: Column, keywords: dict[str, list[str]], other: str = "uncategorized") -> Column:
     """The category with most keywords there; ties by order; none: ``other``."""
     n = [reduce(lambda a, b: a + b, (present(text, k).cast("int") for k in words)) for words in keywords.values()]
     best = F.greatest(*n) if len(n) > 1 else n[0]

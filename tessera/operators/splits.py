@@ -75,16 +75,31 @@ def group_kfold(rows: DataFrame, group: str, folds: int = 5, seed: int = 42) ->
 
 
 def train_valid(rows: DataFrame, group: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """(group, n, split): by a seeded hash order, groups go to train while half of them still fits the target."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64(F.lit(seed), F.col(group)))
-    slots = 256
-    sizes = sizes.withColumn("slot", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * slots).cast("int"))
-    sums = sizes.groupBy("slot").agg(F.sum("n").alias("t"))
-    total = F.sum("t").over(Window.partitionBy())
-    sums = sums.select("slot", (F.sum("t").over(Window.orderBy("slot")) - F.col("t")).alias("before"), total.alias("total"))
-    place = Window.partitionBy("slot").orderBy("h", group)
-    out = sizes.join(sums, "slot").withColumn("upto", F.col("before") + F.sum("n").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.select(group, "n", F.when(F.col("upto") - F.col("n") / 2 <= F.col("total") * share, "train").otherwise("valid").alias("split"))
+    """(group, n, split): by a seeded hash order, groups go to train while half of them still fits the target, the first always.
+
+    The target is the integer part of ``share`` times all rows. A group that does not fit goes to valid and does not
+    count. What may still come is then smaller than it, so each round is a running sum over groups that may fit,
+    up to the first that does not.
+    """
+    slots = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("tv_hash", F.xxhash64(F.lit(seed), F.col(group)))
+    sizes = sizes.withColumn("tv_key", F.coalesce(F.col(group).cast("string"), F.lit(""))).withColumn("slot", F.floor((F.col("tv_hash") / F.lit(2.0**64) + 0.5) * slots).cast("int"))
+    target = int(share * rows.count())
+    inside = Window.partitionBy("slot").orderBy("tv_hash", "tv_key").rowsBetween(Window.unboundedPreceding, 0)
+    count, taken, later = 0, F.lit(False), F.lit(True)
+    while True:
+        fits = later & ((F.col("n") / 2 + count <= target) if count else F.lit(True))
+        some = sizes.where(fits)
+        before = some.groupBy("slot").agg(F.sum("n").alias("t")).select("slot", (F.sum("t").over(Window.orderBy("slot")) - F.col("t")).alias("b"))  # a row a slot
+        upto = some.join(before, "slot").withColumn("upto", F.lit(count) + F.col("b") + F.sum("n").over(inside))
+        over = upto.where((F.col("upto") - F.col("n") / 2 > target) & (F.col("upto") > F.col("n"))).orderBy("tv_hash", "tv_key").first()
+        if over is None:
+            taken = taken | fits
+            break
+        place = (F.col("tv_hash") < over["tv_hash"]) | ((F.col("tv_hash") == over["tv_hash"]) & (F.col("tv_key") < over["tv_key"]))
+        taken, later = taken | (fits & place), later & ~place & ~((F.col("tv_hash") == over["tv_hash"]) & (F.col("tv_key") == over["tv_key"]))
+        count = over["upto"] - over["n"]
+    return sizes.select(group, "n", F.when(taken, "train").otherwise("valid").alias("split"))
 
 
 def leaks(rows: DataFrame, group: str, split: str = "split") -> DataFrame:

@@ -1,5 +1,7 @@
 """Known values of the rules, and invariants of what no SQL expresses."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def test_notes_match_as_one_by_one(spark):
                 tp += 1
         want[k] = (len(p), len(g), tp)
     p, g = (spark.createDataFrame(rows, "k int, pos int, note string") for rows in sides)
-    assert {r.k: (r.n_pred, r.n_gt, r.tp) for r in matching.match_notes(p, g, "k").collect()} == want
+    assert {r.k: (r.n_pred, r.n_gt, r.tp) for r in matching.match_notes(p, g, "k", 0.3).collect()} == want
     assert matching.match_notes(p.limit(0), g.where("k = 1"), "k").first().tp == 0
 
 
@@ -158,6 +160,47 @@ def test_splits_do_not_leak(spark):
     assert abs(train - 4000) <= 40 and splits.leaks(rows.join(two, "g"), "g").count() == 0
 
 
+def test_train_valid_skips_what_does_not_fit(spark):
+    draw = random.Random(5)
+    for sizes in ([10], [10, 1], [draw.choice([1, 1, 2, 9, 60]) for _ in range(40)], [draw.randint(1, 30) for _ in range(25)], [100, *[1] * 30]):
+        rows = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g long")
+        for share in (0.4, 0.8):
+            order = [r.g for r in rows.distinct().orderBy(F.xxhash64(F.lit(42), "g")).collect()]
+            target, count, want = int(share * sum(sizes)), 0, set()
+            for g in order:
+                if count + sizes[g] / 2 <= target or not want:
+                    want.add(g)
+                    count += sizes[g]
+            got = splits.train_valid(rows, "g", share).collect()
+            assert {r.g for r in got if r.split == "train"} == want and {r.g: r.n for r in got} == dict(enumerate(sizes))
+
+
+def test_deal_equal_is_one_by_one():
+    draw = random.Random(6)
+    for _ in range(200):
+        loads, size, n = [draw.randrange(60) for _ in range(draw.randint(1, 7))], draw.randint(1, 25), draw.randrange(90)
+        want = list(loads)
+        for _ in range(n):
+            want[want.index(min(want))] += size
+        counts, got = splits.deal_equal(loads, size, n)
+        assert got == want and sum(counts) == n
+
+
+def test_answers_without_a_number_of_confidence(spark):
+    from tessera.functions import records, structs
+
+    said = ['{"confidence": null}', '{"confidence": "high"}', '{"confidence": 0.9}', '{"confidence": [1]}', "none", None, '{"confidence": NaN}']
+    got = {r.k: r.confidence for r in structs.parse_answers(spark.createDataFrame(list(enumerate(said)), "k int, t string"), "k", "t").collect()}
+    assert got == {0: 0.5, 1: 0.5, 2: 0.9, 3: 0.5, 4: 0.4, 5: 0.4, 6: 0.5}
+    assert records._scalar("9" * 5000) == "9" * 5000
+
+
+def test_overlap_with_no_polygon_is_null(spark):
+    quad = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    rows = spark.createDataFrame([(1, quad, None), (2, quad, quad)], "k int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    assert {r.k: r.iou for r in matching.polygon_ious(rows, "k").collect()} == {1: None, 2: 1.0}
+
+
 @pytest.mark.parametrize(("v", "t", "d", "s", "want"), [(0.9, 0.8, "ge", "critical", "PASS"), (0.7, 0.8, "ge", "critical", "FAIL"), (0.7, 0.8, "ge", "warning", "WARN"), (0.7, 0.8, "le", "info", "PASS"), (None, 0.8, "ge", "critical", "INFO"), (0.7, 0.8, "between", "critical", "INFO")])
 def test_gate(spark, v, t, d, s, want):
     assert value(spark, gates.status(F.lit(v).cast("double"), F.lit(t), F.lit(d), F.lit(s))) == want
