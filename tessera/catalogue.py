@@ -329,22 +329,72 @@ def _detections(spark, sf_dir):
     return boxes.where("pos % 5 <> 0").withColumn("x1", F.col("x1") + shift).withColumn("x2", F.col("x2") + shift), boxes.drop("conf")
 
 
-@query()
+# Ranked boxes, the overlaps of each class, then one rank after the other: what is taken travels as a list.
+_RANKED = "r AS (SELECT *, row_number() OVER (PARTITION BY k, cls ORDER BY conf DESC, pos, x1) AS rank FROM p)"
+_OVERLAP = "(greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
+_SHIFTED = f"p AS (SELECT k, pos, x1 + pos % 3 * 2.0 AS x1, y1, x2 + pos % 3 * 2.0 AS x2, y2, conf, cls FROM {_BOX} WHERE pos % 5 <> 0)"
+_MATCHED = f"""WITH RECURSIVE {_SHIFTED}, {_RANKED}, g AS (SELECT *, row_number() OVER (PARTITION BY k, cls ORDER BY pos, x1) AS i FROM {_BOX}),
+ o AS (SELECT a.k, a.cls, a.rank, b.pos AS gt, b.i, {_OVERLAP} / (480.0 - {_OVERLAP}) AS iou FROM r a JOIN g b ON a.k = b.k AND a.cls = b.cls),
+ c AS (SELECT k, cls, rank, list({{'pos': gt, 'i': i, 'iou': iou}} ORDER BY iou DESC, i) AS near FROM o WHERE iou >= 0.5 GROUP BY ALL),
+ w AS (SELECT r.k, r.cls, r.rank, r.pos, r.conf, coalesce(near, []) AS near FROM r LEFT JOIN c ON r.k = c.k AND r.cls = c.cls AND r.rank = c.rank),
+ m AS (SELECT k, cls, rank, pos, conf, near[1] AS got, CASE WHEN len(near) > 0 THEN [near[1].i] ELSE [] END AS used FROM w WHERE rank = 1 UNION ALL
+ SELECT k, cls, rank, pos, conf, got, CASE WHEN got IS NULL THEN used ELSE list_append(used, got.i) END FROM (SELECT w.k, w.cls, w.rank, w.pos, w.conf, list_filter(w.near, lambda n: NOT list_contains(m.used, n.i))[1] AS got, m.used FROM m JOIN w ON m.k = w.k AND m.cls = w.cls AND w.rank = m.rank + 1)),
+ matched AS (SELECT k, cls, pos, conf, got.pos AS gt_pos, coalesce(got.iou, 0.0) AS iou FROM m)"""
+_KEPT = f"""WITH RECURSIVE p AS (SELECT * FROM {_BOX}), {_RANKED}, c AS (SELECT b.k, b.cls, b.rank, list(a.rank) AS near FROM r a JOIN r b ON a.k = b.k AND a.cls = b.cls AND a.rank < b.rank WHERE {_OVERLAP} / (480.0 - {_OVERLAP}) >= 0.3 GROUP BY ALL),
+ w AS (SELECT r.*, coalesce(near, []) AS near FROM r LEFT JOIN c ON r.k = c.k AND r.cls = c.cls AND r.rank = c.rank),
+ m AS (SELECT w.*, true AS stays, [rank] AS kept FROM w WHERE rank = 1 UNION ALL
+ SELECT w.*, NOT list_has_any(w.near, m.kept), CASE WHEN list_has_any(w.near, m.kept) THEN m.kept ELSE list_append(m.kept, w.rank) END FROM m JOIN w ON m.k = w.k AND m.cls = w.cls AND w.rank = m.rank + 1)"""
+
+
+@query(f"{_MATCHED} SELECT k, cls, pos, conf, gt_pos, round(iou, 6) AS iou FROM matched")
 def greedy_match(spark, sf_dir):
-    return matching.match_predictions(*_detections(spark, sf_dir), "k")
+    return matching.match_predictions(*_detections(spark, sf_dir), "k").withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(f"""{_MATCHED}, t AS (SELECT cls, count(gt_pos) AS tp, count(*) - count(gt_pos) AS fp, 0 AS gt FROM matched GROUP BY cls UNION ALL SELECT cls, 0, 0, count(*) FROM {_BOX} GROUP BY cls)
+SELECT coalesce(cls, '_all') AS cls, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, (sum(gt) - sum(tp))::BIGINT AS fn, (sum(gt) - sum(tp)) / sum(gt) AS missing_rate FROM t GROUP BY ROLLUP (cls)""")
 def detection_metrics(spark, sf_dir):
     predictions, truth = _detections(spark, sf_dir)
     return matching.detection_metrics(matching.match_predictions(predictions, truth, "k"), truth)
 
 
-@query()
+@query(f"{_MATCHED}, d AS (SELECT k, count(gt_pos) AS tp FROM matched GROUP BY k), t AS (SELECT k, count(*) AS gt FROM {_BOX} GROUP BY k) SELECT count(*) AS drawings, round(avg(coalesce(tp, 0) / gt), 9) AS recall FROM t LEFT JOIN d USING (k)")
+def drawing_recall(spark, sf_dir):
+    predictions, truth = _detections(spark, sf_dir)
+    return matching.drawing_recall(matching.match_predictions(predictions, truth, "k"), truth, "k").withColumn("recall", F.round("recall", 9))
+
+
+@query(f"{_KEPT} SELECT k, cls, pos, conf, x1, y1, x2, y2 FROM m WHERE stays")
 def nms(spark, sf_dir):
     return matching.suppress(_boxes(spark, sf_dir), "k", 0.3)
 
 
+def _turned(boxes: DataFrame) -> DataFrame:
+    """The boxes as quadrilaterals, every drawing turned and sheared alike: overlaps stay what they were."""
+    points = [("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")]
+    x = [(F.col(a) * 0.8 - F.col(b) * 0.6).alias(f"x{i}") for i, (a, b) in enumerate(points, 1)]
+    y = [(F.col(a) * 0.75 + F.col(b) * 0.5).alias(f"y{i}") for i, (a, b) in enumerate(points, 1)]
+    return boxes.select(*(c for c in boxes.columns if c not in matching.BOXES.columns), *x, *y)
+
+
+@query(f"{_KEPT} SELECT k, cls, pos, conf FROM m WHERE stays")
+def rotated_nms(spark, sf_dir):
+    return matching.suppress(_turned(_boxes(spark, sf_dir)), "k", 0.3, matching.QUADS).select("k", "cls", "pos", "conf")
+
+
+@query(f"{_MATCHED} SELECT k, cls, pos, gt_pos, round(iou, 6) AS iou FROM matched")
+def rotated_match(spark, sf_dir):
+    predictions, truth = _detections(spark, sf_dir)
+    return matching.match_predictions(_turned(predictions), _turned(truth), "k", shape=matching.QUADS).select("k", "cls", "pos", "gt_pos", F.round("iou", 6).alias("iou"))
+
+
+@query(f"{_KEPT.replace('conf DESC, pos', 'conf DESC, pos % 2 = 0, pos')} SELECT k, cls, pos, conf FROM m WHERE stays")
+def fold_union(spark, sf_dir):
+    boxes, odd = _boxes(spark, sf_dir), F.col("pos") % 2 == 1
+    kept = matching.fold_union([boxes.where(odd), boxes.where(~odd)], "k", 0.3)
+    return kept.select("k", "cls", (F.col("pos") % (1 << 32)).alias("pos"), "conf")
+
+
 # --- labels, ranking, sets ---------------------------------------------------------------------------------
 
 _LINES = "(SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN '# note' WHEN vec_id % 7 = 0 THEN label || ' 0.5 0.5' WHEN vec_id % 5 = 0 THEN 'x 0.1 0.2 0.3 0.4' ELSE label || ' 0.5 0.5 0.25 0.125' END AS line FROM embeddings)"

@@ -251,3 +251,26 @@ def test_incremental(spark, tmp_path):
     for _ in range(2):
         incremental.ingest(spark, str(tmp_path / "in"), schema, "id", lambda df, _: seen.extend(r.id for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [1, 2]
+
+
+def test_rotated_suppression_and_matching(spark):
+    quad = lambda x, y, a=4.0: (x, y, x + a, y + a, x, y + 2 * a, x - a, y + a)  # noqa: E731 a square on its corner
+    names = "k int, cls string, pos int, conf double, " + ", ".join(f"{c} double" for c in matching.QUADS.columns)
+    rows = [(1, "a", 1, 0.9, *quad(0.0, 0.0)), (1, "a", 2, 0.8, *quad(0.5, 0.0)), (1, "a", 3, 0.7, *quad(20.0, 0.0)), (1, "b", 4, 0.6, *quad(0.0, 0.0)), (2, "a", 5, None, *quad(0.0, 0.0)), (2, "a", 6, 0.1, *[None] * 8)]
+    boxes = spark.createDataFrame(rows, names)
+    stay = lambda most: sorted(r.pos for r in matching.suppress(boxes, "k", most, matching.QUADS).collect())
+    assert stay(0.5) == [1, 3, 4, 5, 6] and stay(0.99) == [1, 2, 3, 4, 5, 6]
+    got = {r.pos: (r.gt_pos, r.iou) for r in matching.match_predictions(boxes, boxes.where("pos in (2, 3, 5)"), "k", shape=matching.QUADS).collect()}
+    assert got == {1: (2, pytest.approx(0.777777, abs=0.1)), 2: (None, 0.0), 3: (3, 1.0), 4: (None, 0.0), 5: (5, 1.0), 6: (None, 0.0)}
+    merged = matching.fold_union([boxes, boxes], "k", 0.5, matching.QUADS)
+    assert sorted(r.pos for r in merged.where("pos < 4294967296").collect()) == [1, 3, 4, 5, 6]
+    assert matching.fold_union([boxes.limit(0)], "k", 0.5, matching.QUADS).count() == 0
+
+
+def test_recall_and_gates_without_truth(spark):
+    hits = spark.createDataFrame([(1, 1), (1, None), (2, None)], "k int, gt_pos int")
+    truth = spark.createDataFrame([(1,), (1,), (3,)], "k int")
+    assert tuple(matching.drawing_recall(hits, truth, "k").first()) == (2, 0.25) and tuple(matching.drawing_recall(hits, truth, "k", 1.0).first()) == (3, 0.5)
+    totals = spark.createDataFrame([("a", 9, 1), ("b", 0, 0)], "cls string, tp long, fn long")
+    passed = lambda **how: {r.cls: (round(r.missing, 6), r.passed) for r in matching.missing_gate(totals, {"a": 0.1, "b": 0.5}, **how).collect()}
+    assert passed() == {"a": (0.1, False), "b": (1.0, False)} and passed(unseen=0.0, strict=False) == {"a": (0.1, True), "b": (0.0, True)}
