@@ -429,20 +429,18 @@ _FOLDS = "WITH e AS (SELECT user_id % 5 AS fold, CAST(day(ts) AS INT) AS epoch,
 
 def _folds(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("fold"), F.dayofmonth("ts").alias("epoch")).agg(F.max("value").alias("score"), F.min("value").alias("loss"))
-    best, last = Window.partitionBy("fold").orderBy(F.desc("score"), "epoch"), Window.partitionBy("fold").orderBy(F.desc("epoch"))
-    return e.withColumn("r", F.row_number().over(best)).withColumn("z", F.row_number().over(last))
+    return metrics.fold_results(e, "fold", "epoch", "score", ["score", "loss"], ["loss"])
 
 
 @query(f"{_FOLDS} SELECT fold, max(CASE WHEN r = 1 THEN epoch END) AS best_epoch, max(CASE WHEN r = 1 THEN score END) AS score, max(CASE WHEN z = 1 THEN loss END) AS last_loss FROM b GROUP BY fold")
 def best_epoch(spark, sf_dir):
-    pick = lambda c, w, name: F.max(F.when(F.col(w) == 1, F.col(c))).alias(name)
-    return _folds(spark, sf_dir).groupBy("fold").agg(pick("epoch", "r", "best_epoch"), pick("score", "r", "score"), pick("loss", "z", "last_loss"))
+    return _folds(spark, sf_dir).select("fold", "best_epoch", "score", "last_loss")
 
 
 @query(f"{_FOLDS} SELECT round(avg(loss), 6) AS mean, round(coalesce(stddev_samp(loss), 0.0), 6) AS std, min(loss) AS low, max(loss) AS high, count(*) AS n FROM b WHERE r = 1")
 def kfold_summary(spark, sf_dir):
     x = F.col("loss")
-    return _folds(spark, sf_dir).where("r = 1").agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"))
+    return _folds(spark, sf_dir).agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS high FROM events GROUP BY 1")

@@ -107,3 +107,16 @@ def scale_points(points: Column, factor: Column) -> Column:
     pair = F.transform(F.split(points, ";"), lambda p: F.transform(F.split(p, ","), lambda v: v.try_cast("double")))
     good = F.filter(pair, lambda p: (F.size(p) == 2) & ~F.exists(p, lambda v: v.isNull()))
     return F.array_join(F.transform(good, lambda p: F.array_join(F.transform(p, lambda v: F.format_string("%.2f", v * factor)), ",")), ";")
+
+
+def upright_size(q: Quad) -> Column:
+    """struct(width, height) of a quadrilateral set upright: means of opposite edges, rounded half to even, 1 at least."""
+    p = order_points(q)
+    edge = lambda i, j: F.sqrt(F.pow(p[j]["x"] - p[i]["x"], 2) + F.pow(p[j]["y"] - p[i]["y"], 2))
+    size = lambda a, b: F.greatest(F.lit(1), F.rint((a + b) / 2).cast("int"))
+    return F.struct(size(edge(0, 1), edge(3, 2)).alias("width"), size(edge(0, 3), edge(1, 2)).alias("height"))
+
+
+def large_enough(w: Column, h: Column, area: float = 100.0, side: float = 5.0) -> Column:
+    """Crops that are kept: an area and sides of these sizes at least."""
+    return F.coalesce((w * h >= area) & (F.least(w, h) >= side), F.lit(False))

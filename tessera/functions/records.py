@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import NUMBER, numerical_match
+from tessera.functions.text import note_lines
 
 # Answers that stand for none; drawing classes and their internal names; region kinds that are routed.
 NO_ANSWER = ["", "none", "n/a", "na", "unknown"]
@@ -151,3 +152,65 @@ def patch_name(name: Column) -> Column:
     pattern = r"^(.+)__PMI_(\d+)\.[A-Za-z]+$"
     index = F.regexp_extract(name, pattern, 2)
     return F.struct(F.when(index == "", name).otherwise(F.regexp_extract(name, pattern, 1)).alias("base"), F.coalesce(index.try_cast("int"), F.lit(-1)).alias("index"))
+
+
+# Empty records that a person fills in, by class, and the routes of a page's regions.
+TEMPLATES = {
+    "Measure": "named_struct('type', 'Measure', 'nominal', cast(null as double), 'tolerance', cast(null as struct<upper: double, lower: double>), 'unit', 'mm')",
+    "GDT": "named_struct('type', 'GDT', 'symbol', cast(null as string), 'tolerance', cast(null as double), 'datum', cast(null as array<string>))",
+    "Roughness": "named_struct('type', 'Roughness', 'Ra', cast(null as double), 'unit', 'μm')",
+}
+ROUTES = {"View": "views", "TitleBlock": "title_block", "Notes": "notes"}
+HIDDEN = ["_review", "_meta"]
+
+
+def template(cls: str, image: Column, ocr: Column) -> Column:
+    """JSON of an empty record of a class with its ``_review``: image, whether completed, what was read, a measure's hint."""
+    read = F.nullif(F.coalesce(ocr, F.lit("")), F.lit(""))
+    review = [image.alias("source_image"), F.lit(False).alias("completed"), read.alias("ocr_hint")]
+    if cls == "Measure":
+        review.append(numeric_hint(read).alias("ocr_numeric"))
+    empty = F.regexp_replace(F.to_json(F.expr(TEMPLATES[cls]), {"ignoreNullFields": "false"}), r"\}$", "")
+    return F.concat(empty, F.lit(',"_review":'), F.to_json(F.struct(*review)), F.lit("}"))
+
+
+def without_review(fields: Column) -> Column:
+    """A map without the entries that are about the review."""
+    return F.map_filter(fields, lambda k, _: ~k.isin(HIDDEN))
+
+
+def route(cls: Column) -> Column:
+    """Where a page's region goes; null: nowhere."""
+    return F.coalesce(*(F.when(internal_class(cls) == c, r) for c, r in ROUTES.items()))
+
+
+def confident(conf: Column, least: float) -> Column:
+    return F.coalesce(conf >= least, F.lit(False))
+
+
+def region_record(region: Column, raw: Column, error: Column) -> Column:
+    """struct(fields, items, raw, error) of what was read in a region: title blocks keep the text under ``_raw_text``,
+    notes become lines, others only the text; with an error nothing else."""
+    kind, text, good = F.lower(region), F.coalesce(raw, F.lit("")), error.isNull()
+    fields = F.when(text != "", F.create_map(F.lit("_raw_text"), text)).otherwise(F.create_map().cast("map<string,string>"))
+    return F.struct(
+        F.when(good & kind.isin("titleblock", "title_block", "title"), fields).alias("fields"),
+        F.when(good & kind.isin("notes", "note"), note_lines(text)).alias("items"),
+        F.when(good, text).alias("raw"), error.alias("error"),
+    )
+
+
+def merge_regions(records: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, title_block, notes) of records (key, order, fields, items): later fields win where they are not blank, items follow each other."""
+    parts = F.array_sort(F.collect_list(F.struct(order, F.map_entries("fields").alias("fields"), "items")))
+    merged = records.groupBy(key).agg(parts.alias("parts"))
+    entries = F.flatten(F.transform("parts", lambda p: F.coalesce(p["fields"], F.array().cast("array<struct<key:string,value:string>>"))))
+    filled = F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    last = F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later["key"] == e["key"]))
+    notes = F.flatten(F.transform("parts", lambda p: F.coalesce(p["items"], F.array().cast("array<string>"))))
+    return merged.select(key, F.map_from_entries(last).alias("title_block"), notes.alias("notes"))
+
+
+def utc_now() -> Column:
+    """This moment in UTC, to the second, as ISO text."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -113,3 +113,39 @@ def split_notes(s: Column) -> Column:
 def bullet_items(s: Column) -> Column:
     """Lines without leading bullets or numbers, blank ones dropped."""
     return F.filter(F.transform(F.split(s, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))), lambda p: p != "")
+
+
+# Words of parts lists, languages by the start of a file name, marks of an assistant's answer.
+PARTS_LIST = [
+    "PART NO", "PART NUMBER", "ITEM", "QTY", "QUANTITY", "B.O.M", "BILL OF MATERIAL", "BILL OF MATERIALS",
+    "품번", "품명", "수량", "부품번호", "자재명",
+    "部品番号", "品番", "数量", "員数", "名称",
+    "ПОЗ", "КОЛ", "НАИМЕНОВАНИЕ", "ОБОЗН",
+    "序号", "序號", "數量", "名稱", "零件号", "零件號", "件数", "件數", "材料", "規格",
+]
+PREFIXES = {"en_": "English", "ja_": "Japanese", "ko_": "Korean", "ru_": "Russian", "zh_": "Chinese", "de_": "German"}
+ANSWERS = [r"(?s)[Aa]ssistant\s*:\s*(.+)$", r"(?s)<\|assistant\|>(.+?)(?:<\|.+?\|>|$)", r"(?s)<assistant>(.+?)</assistant>"]
+
+
+def parts_list_hits(s: Column, keywords: list[str] = PARTS_LIST) -> Column:
+    """How many different keywords stand in a text, in any case, runs of blanks as one; null: 0."""
+    plain = F.regexp_replace(F.upper(F.trim(F.coalesce(s, F.lit("")))), r"(?U)\s+", " ")
+    return F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(plain, F.upper(k))))
+
+
+def language_by_prefix(name: Column) -> Column:
+    """Language by the start of a file name, in any case; else ``Unknown``."""
+    return F.coalesce(*(F.when(F.lower(name).startswith(p), language) for p, language in PREFIXES.items()), F.lit("Unknown"))
+
+
+def note_lines(raw: Column) -> Column:
+    """Lines of a text that are not blank, trimmed; null: none."""
+    return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def assistant_answer(s: Column) -> Column:
+    """An assistant's part of a chat transcript, trimmed: by the first mark that is found, else after the bare word, else all."""
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    marked = [F.when(s.rlike(p), trimmed(F.regexp_extract(s, p, 1))) for p in ANSWERS]
+    bare = F.when(s.contains("Assistant"), trimmed(F.regexp_extract(s, r"(?s)Assistant:*(.*)$", 1)))
+    return F.coalesce(*marked, bare, trimmed(s))

@@ -64,3 +64,52 @@ def hallucination_rate(compared: DataFrame, allowed: list[str], by: list[str]) -
     wrong = F.col("has_pred") & (~F.col("path").isin(allowed) | ~F.col("has_gt") | ~F.col("hit"))
     n = F.count_if(F.col("has_pred"))
     return compared.groupBy(*by).agg(n.alias("n_pred"), F.count_if(wrong).alias("n_wrong"), (F.count_if(wrong) / F.greatest(F.lit(1), n)).alias("rate"))
+
+
+def confusion_rate(cells: DataFrame, classes: int) -> DataFrame:
+    """(confused, total, rate) of cells (actual, predicted, n): counts off the diagonal over all, among the first ``classes`` only."""
+    n = F.when((F.col("actual") < classes) & (F.col("predicted") < classes), F.col("n")).otherwise(0)
+    sums = cells.agg(F.coalesce(F.sum(F.when(F.col("actual") != F.col("predicted"), n)), F.lit(0)).alias("confused"), F.coalesce(F.sum(n), F.lit(0)).alias("total"))
+    return sums.select("confused", "total", safe_div(F.col("confused"), F.col("total")).alias("rate"))
+
+
+def class_accuracy(cells: DataFrame, classes: int, over: str = "actual") -> DataFrame:
+    """(cls, accuracy): the diagonal over all cells of a class, by ``over``; a class without cells has 0."""
+    sums = cells.where(F.col(over) < classes).groupBy(F.col(over).alias("cls")).agg(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hit"), F.sum("n").alias("all"))
+    return sums.select("cls", safe_div(F.col("hit"), F.col("all")).alias("accuracy"))
+
+
+def false_positive_rate(cells: DataFrame, cls: int, background: int) -> DataFrame:
+    """(wrong, total, rate): background taken for a class, over all cells of the background."""
+    sums = cells.where(F.col("actual") == background).agg(F.coalesce(F.sum(F.when(F.col("predicted") == cls, F.col("n"))), F.lit(0)).alias("wrong"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return sums.select("wrong", "total", safe_div(F.col("wrong"), F.col("total")).alias("rate"))
+
+
+def fold_results(epochs: DataFrame, fold: str, order: str, score: str, best: list[str], last: list[str]) -> DataFrame:
+    """One row for each fold: ``best`` columns of its epoch with the greatest score (null: 0; ties: the first), ``last`` columns of its last epoch."""
+    top = F.struct(F.coalesce(F.col(score), F.lit(0.0)).alias("_score"), (-F.col(order)).alias("_order"), F.struct(*best).alias("row"))
+    end = F.struct(F.col(order).alias("_order"), F.struct(F.lit(True).alias("_any"), *last).alias("row"))
+    picked = epochs.groupBy(fold).agg(F.max(top).alias("top"), F.max(end).alias("end"))
+    return picked.select(fold, (-F.col("top._order")).alias("best_" + order), *(F.col(f"top.row.{c}") for c in best), *(F.col(f"end.row.{c}").alias("last_" + c) for c in last))
+
+
+def best_fold(results: DataFrame, fold: str, score: str) -> DataFrame:
+    """The fold with the greatest score, the first on a tie; no row where none has one."""
+    return results.where(F.col(score).isNotNull()).orderBy(F.desc(score), fold).limit(1)
+
+
+def batch_summary(runs: DataFrame, ok: str, seconds: str) -> DataFrame:
+    """(n_total, n_ok, n_err, total_seconds, avg_seconds) of a batch; nothing run: zeros."""
+    good, total = F.count_if(F.col(ok)), F.coalesce(F.sum(seconds), F.lit(0.0))
+    n = F.count(F.lit(1))
+    return runs.agg(n.alias("n_total"), good.alias("n_ok"), (n - good).alias("n_err"), F.round(total, 1).alias("total_seconds"), F.round(F.round(total, 1) / F.greatest(F.lit(1), n), 2).alias("avg_seconds"))
+
+
+def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows without replacement, the same for the same seed and keys."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def unmatched(requested: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Requested keys that were not found, each once."""
+    return requested.select(key).distinct().join(found.select(key), key, "left_anti")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,14 +42,99 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")).alias(c.lstrip("﻿").strip()) for c in raw.columns))
 
 
-def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, stem, doc, bad): whole files as variants; what does not parse is null and marked."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("file"), "value")
-    name = F.regexp_extract("file", r"([^/]+?)(?:\.enriched)?\.json$", 1)
+def read_json_documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".enriched",), recursive: bool = True) -> DataFrame:
+    """(file, stem, doc, bad): whole files as variants; what does not parse is null and marked.
+
+    A suffix before ``.json`` is no part of the stem. ``recursive``: folders below the path, too.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("file"), "value")
+    ends = "|".join(re.escape(x) for x in suffixes)
+    name = F.regexp_extract("file", rf"([^/]+?)(?:{ends})?\.json$", 1)
     rows = raw.select("file", name.alias("stem"), F.try_parse_json("value").alias("doc")).where("stem not like '\\_%' and stem <> 'manifest'")
     return rows.withColumn("bad", F.col("doc").isNull())
 
 
+def preferred(documents: DataFrame, suffix: str = ".enriched") -> DataFrame:
+    """One document of each stem: a file with the suffix before one without, then the first by path."""
+    return one_of_each(documents, "stem", [F.desc(F.col("file").endswith(f"{suffix}.json")), "file"])
+
+
+def lenient_class(line: Column, classes: int) -> Column:
+    """Class of a label line by its first word alone; null where that is no number of a class."""
+    first = F.get(F.split(F.trim(line), r"\s+"), 0)
+    cls = F.when(first.rlike(r"^\d+$"), first.try_cast("int"))
+    return F.when(cls.between(0, classes - 1), cls)
+
+
+def class_counts(lines: DataFrame, file: str, line: str, classes: int) -> DataFrame:
+    """(file, c0, c1 ...): lines of each class in a file, by ``lenient_class``; a file without any has zeros."""
+    return lines.select(file, lenient_class(F.col(line), classes).alias("cls")).groupBy(file).agg(*(F.count_if(F.col("cls") == c).alias(f"c{c}") for c in range(classes)))
+
+
+def lenient_rows(lines: DataFrame, line: str, fields: int = 5, classes: list[int] | None = None) -> DataFrame:
+    """Lines that parse, of the given classes, with ``cls`` and ``values``; all others are dropped without a word."""
+    rows = lines.withColumn("parsed", parse_label(F.col(line), fields)).where("parsed.error = ''")
+    rows = rows.select(*lines.columns, "parsed.cls", "parsed.values")
+    return rows if classes is None else rows.where(F.col("cls").isin(classes))
+
+
+def read_epochs(spark: SparkSession, path: str) -> DataFrame:
+    """(fold, ...) of training logs in CSV, a folder for each fold: header names trimmed, values as numbers or null.
+
+    ``fold`` is the number at the end of the folder's name.
+    """
+    raw = spark.read.csv(path, header=True, recursiveFileLookup=True, pathGlobFilter="results.csv")
+    fold = F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)/results\.csv$", 1).try_cast("int")
+    return raw.select(fold.alias("fold"), *(F.trim(F.col(f"`{c}`")).try_cast("double").alias(c.strip()) for c in raw.columns))
+
+
+def class_names(found: dict | list) -> list[str]:
+    """Names in order of their numbers, from a list or an object of a data set's configuration."""
+    return [found[k] for k in sorted(found, key=int)] if isinstance(found, dict) else list(found)
+
+
+def read_thresholds(text: str) -> dict[str, dict]:
+    """Thresholds of a JSON text as a flat dict: dotted path -> node with ``threshold``."""
+    out: dict[str, dict] = {}
+
+    def walk(node: object, path: str) -> None:
+        if isinstance(node, dict):
+            if "threshold" in node:
+                out[path] = node
+            for k, v in node.items():
+                walk(v, f"{path}.{k}" if path else k)
+
+    walk(json.loads(text), "")
+    return out
+
+
+def threshold_of(thresholds: dict[str, dict], path: str, aliases: dict[str, str]) -> dict | None:
+    """A threshold by its dotted path; else by the other name, either way, of the last part; else None."""
+    head, _, name = path.rpartition(".")
+    other = {v: k for k, v in aliases.items()}.get(name) or aliases.get(name)
+    return thresholds.get(path) or (thresholds.get(f"{head}.{other}" if head else other) if other else None)
+
+
+IMAGE_KINDS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
+
+
+def list_files(spark: SparkSession, path: str, kinds: tuple[str, ...] = IMAGE_KINDS) -> DataFrame:
+    """(file, stem, size) of the files below a path with such endings, in any case; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))
+    end = reduce(lambda a, b: a | b, (F.lower("file").endswith(k) for k in kinds))
+    return files.where(end).select("file", F.regexp_extract("file", r"([^/]+)\.[^./]+$", 1).alias("stem"), "size")
+
+
+def labelled(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Images (stem, file) that have a label file (stem, size) with anything in it."""
+    return images.join(labels.where("size > 0").select("stem"), "stem", "left_semi")
+
+
+def seed_stems(splits: list[DataFrame]) -> DataFrame:
+    """Stems of all splits, each once."""
+    return reduce(DataFrame.unionByName, (s.select("stem") for s in splits)).distinct()
+
+
 def read_annotation_xml(spark: SparkSession, path: str) -> DataFrame:
     """Image elements of annotation XML files, attributes with a leading underscore."""
     return spark.read.format("xml").option("rowTag", "image").load(path)
