@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tessera.llm.license_scan import license_scan, license_sql
 from tessera.llm.media_columns import document_media, page_sequences
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack_documents
+from tessera.llm.piece_bpe import code_documents
 from tessera.llm.quality_nbsvm import score_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.source_mixing import mix_sources
@@ -65,7 +67,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_suffix_dedup, op7_quality_classifier, op8_media_columns, op9_best_fit_packing, op10_language_id, media_of_pages)}
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = code_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids, decoded = F.array_join(F.col("ids").cast("array<string>"), ","), F.col("decoded")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_license_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_suffix_dedup, op7_quality_classifier, op8_media_columns, op9_best_fit_packing, op10_language_id, op12_sentencepiece, media_of_pages)}
 
 _OP1 = r"""
 WITH RECURSIVE words AS (
