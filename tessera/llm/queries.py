@@ -15,7 +15,7 @@ from tessera.llm.license_scan import license_scan, license_sql
 from tessera.llm.media_columns import document_media, page_sequences
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack_documents
-from tessera.llm.piece_bpe import code_documents
+from tessera.llm.piece_bpe import encode_pieces
 from tessera.llm.quality_nbsvm import score_quality
 from tessera.llm.sharding import shard_documents
 from tessera.llm.source_mixing import mix_sources
@@ -78,7 +78,7 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code_documents(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = encode_pieces(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded")
     ids, decoded = F.array_join(F.col("ids").cast("array<string>"), ","), F.col("decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"))
 
