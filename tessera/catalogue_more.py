@@ -10,6 +10,7 @@ from tessera.functions import geometry as G
 from tessera.functions import structs as S
 from tessera.functions import text as T
 from tessera.operators import crawl, matching
+from tessera.operators import documents as D
 from tessera.plans import enrichment
 
 _WEIGHTS = {"small": 10, "ring": 5, "bolt": 5, "large": 2, "red": 2}
@@ -99,7 +100,8 @@ def donut_encode(spark, sf_dir):
 @query("SELECT o_orderkey, f.path, f.value FROM orders CROSS JOIN LATERAL (VALUES ('a.status', o_orderstatus), ('a.ids', '[' || o_orderkey || ', ' || o_custkey || ']'), ('b[0].p', o_orderpriority)) AS f(path, value)")
 def flatten_nested(spark, sf_dir):
     doc = F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status"), F.array("o_orderkey", "o_custkey").alias("ids")).alias("a"), F.array(F.struct(F.col("o_orderpriority").alias("p"))).alias("b")))
-    return S.flatten_json(table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc")), "o_orderkey", "doc")
+    found = D.leaves(table(spark, sf_dir, "orders").select("o_orderkey", F.try_parse_json(doc).alias("doc")), "doc")
+    return found.select("o_orderkey", "path", D.leaf_text(F.col("node")).alias("value"))
 
 
 @query()

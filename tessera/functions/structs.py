@@ -1,4 +1,4 @@
-"""Nested documents: flattening, tag strings, JSON inside answers."""
+"""Records inside texts: tag strings, JSON inside answers."""
 
 from __future__ import annotations
 
@@ -12,35 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten(value: object, path: str = "", skip: tuple[str, ...] = (), keep_empty_lists: bool = True) -> Iterator[tuple[str, str | None]]:
-    """Leaves of a parsed document: lists of scalars stay whole, an empty object has none, an empty list is one."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if k not in skip:
-                yield from flatten(v, f"{path}.{k}" if path else k, skip, keep_empty_lists)
-    elif isinstance(value, list) and any(isinstance(v, (dict, list)) for v in value):
-        for i, v in enumerate(value):
-            yield from flatten(v, f"{path}[{i}]", skip, keep_empty_lists)
-    elif not (value == [] and not keep_empty_lists):
-        yield path, value if isinstance(value, str) or value is None else json.dumps(value, ensure_ascii=False)
-
-
-def flatten_json(rows: DataFrame, key: str, column: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(key, path, value) of JSON texts of any depth; null and broken JSON give no rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, text in zip(b[key], b[column], strict=True):
-                try:
-                    out += [(k, *leaf) for leaf in flatten(json.loads(text), skip=skip)]
-                except (TypeError, ValueError):
-                    continue
-            yield pd.DataFrame(out, columns=[key, "path", "value"])
-
-    return rows.select(key, column).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, path string, value string")
-
-
 def to_tags(fields: dict[str, Column]) -> Column:
     """Tag string of a flat record: ``<s_name>value</s_name>`` for each field, nulls empty."""
     return F.concat(*(F.concat(F.lit(f"<s_{n}>"), F.coalesce(c.cast("string"), F.lit("")), F.lit(f"</s_{n}>")) for n, c in fields.items()))

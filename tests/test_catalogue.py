@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tessera import catalogue, catalogue_more, catalogue_records, catalogue_sets  # noqa: F401
+from tessera import catalogue, catalogue_documents, catalogue_more, catalogue_records, catalogue_sets  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
