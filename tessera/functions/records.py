@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.numbers import NUMBER, numerical_match
 from tessera.functions.text import note_lines
@@ -107,6 +108,39 @@ def tags_to_document(text: str | None) -> dict:
     return out
 
 
+def document_to_tags(value: object, skip: tuple[str, ...] = ("type",)) -> str:
+    """The tag string of a parsed document, the inverse of ``tags_to_document``: members in their order, lists joined by
+    ``<sep/>``, null empty, truth values in lower case; members named in ``skip`` are left out at every level.
+
+    What cannot come back as it was: a list inside a member of a document inside a list's place, texts that look like
+    numbers, truth values or tags, and white space at the ends of texts.
+    """
+    if isinstance(value, dict):
+        return "".join(f"<s_{k}>{document_to_tags(v, skip)}</s_{k}>" for k, v in value.items() if k not in skip)
+    if isinstance(value, list):
+        return "<sep/>".join(document_to_tags(v, skip) for v in value)
+    return "" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def encode_tags(rows: DataFrame, column: str, skip: tuple[str, ...] = ("type",)) -> DataFrame:
+    """``rows`` with ``tags``: documents as JSON texts in ``column`` as tag strings, null where null or broken.
+
+    Members keep the order of the text, which a variant would not, so this runs on Arrow batches.
+    """
+
+    def tags(text: str | None) -> str | None:
+        try:
+            return document_to_tags(json.loads(text), skip)
+        except (TypeError, ValueError):
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(tags=[tags(t) for t in b[column]])
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("tags", T.StringType())]))
+
+
 def decode_tags(rows: DataFrame, key: str, column: str) -> DataFrame:
     """(key, doc): tag strings as JSON texts, keys sorted. Nesting has no bound, so this runs on Arrow batches."""
 
