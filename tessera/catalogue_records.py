@@ -92,11 +92,9 @@ def mean_edit_distance(spark, sf_dir):
     return summaries.mean_edit_distance(rows, "k", ["a", "b"])
 
 
-@query("SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON left(a.p_name, 1) = left(b.p_name, 1) AND a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) <= 0.3")
+@query("SELECT a.p_brand AS a, b.p_brand AS b FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON a.p_brand < b.p_brand WHERE levenshtein(a.p_brand, b.p_brand) / greatest(length(a.p_brand), length(b.p_brand)) <= 0.3")
 def fuzzy_pairs(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = (names.select(F.col("p_name").alias(c), F.substring("p_name", 1, 1).alias("head")) for c in "ab")
-    return a.join(b, "head").where((F.col("a") < F.col("b")) & T.fuzzy_match(F.col("a"), F.col("b"), 0.3)).select("a", "b")
+    return matching.fuzzy_pairs(table(spark, sf_dir, "part"), "p_brand", 0.3)
 
 
 @query("SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) <= 0.3")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalogue import _LINES, query, table
@@ -111,11 +112,14 @@ def assistant_answer(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.assistant_answer(told).alias("answer"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_returnflag FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM lineitem) WHERE c = 1)
-SELECT l_orderkey, arg_max(l_linenumber, l_linenumber) FILTER (l_returnflag = 'A')::VARCHAR AS a, max(l_linenumber) FILTER (l_returnflag = 'N')::VARCHAR AS n, string_agg(l_linenumber, ',' ORDER BY l_linenumber) AS notes FROM r GROUP BY l_orderkey""")
+_ITEMS = "(SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey) AS n, l_returnflag FROM lineitem)"
+
+
+@query(f"""SELECT l_orderkey, max(n) FILTER (l_returnflag = 'A')::VARCHAR AS a, max(n) FILTER (l_returnflag = 'N')::VARCHAR AS n, string_agg(n, ',' ORDER BY n) AS notes FROM {_ITEMS} GROUP BY l_orderkey""")
 def merge_regions(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    alone = items.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c"), F.first("l_returnflag").alias("flag")).where("c = 1")
-    n = F.col("l_linenumber").cast("string")
-    merged = R.merge_regions(alone.select("l_orderkey", "l_linenumber", F.create_map("flag", n).alias("fields"), F.array(n).alias("items")), "l_orderkey", "l_linenumber")
+    """Every line is a region of its order, numbered in a total order: lines that repeat a number are there, too."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", place.alias("place"), F.col("l_returnflag").alias("flag"))
+    n = F.col("place").cast("string")
+    merged = R.merge_regions(items.select("l_orderkey", "place", F.create_map("flag", n).alias("fields"), F.array(n).alias("items")), "l_orderkey", "place")
     return merged.select("l_orderkey", F.col("title_block")["A"].alias("a"), F.col("title_block")["N"].alias("n"), F.array_join("notes", ",").alias("notes"))

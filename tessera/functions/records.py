@@ -239,10 +239,13 @@ def merge_regions(records: DataFrame, key: str, order: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(order, F.map_entries("fields").alias("fields"), "items")))
     merged = records.groupBy(key).agg(parts.alias("parts"))
     entries = F.flatten(F.transform("parts", lambda p: F.coalesce(p["fields"], F.array().cast("array<struct<key:string,value:string>>"))))
-    filled = F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != "")
-    last = F.filter(filled, lambda e, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda later: later["key"] == e["key"]))
+    filled = F.reverse(F.filter(entries, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+    # of a key's entries the last one counts: the first from the end, as array_distinct keeps and array_position finds
+    names = F.transform(filled, lambda e: e["key"])
+    values = F.transform(filled, lambda e: e["value"])
+    last = F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("key"), F.get(values, F.array_position(names, n).cast("int") - 1).alias("value")))
     notes = F.flatten(F.transform("parts", lambda p: F.coalesce(p["items"], F.array().cast("array<string>"))))
-    return merged.select(key, F.map_from_entries(last).alias("title_block"), notes.alias("notes"))
+    return merged.select(key, F.map_from_entries(F.reverse(last)).alias("title_block"), notes.alias("notes"))
 
 
 def utc_now() -> Column:

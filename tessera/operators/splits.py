@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -102,6 +102,53 @@ def train_valid(rows: DataFrame, group: str, share: float = 0.8, seed: int = 42)
     return sizes.select(group, "n", F.when(taken, "train").otherwise("valid").alias("split"))
 
 
+def split_sizes(groups: int, shares: tuple[float, float, float] = (0.7, 0.2, 0.1)) -> tuple[int, int, int]:
+    """How many groups train, valid and test get: test the share rounded up, valid its share of what is left rounded up
+    (in floating point: of 9 groups left it gets 3); the last group is always train's."""
+    test = min(math.ceil(shares[2] * groups), max(0, groups - 1))
+    valid = min(math.ceil(shares[1] / (shares[0] + shares[1]) * (groups - test)), max(0, groups - test - 1))
+    return groups - test - valid, valid, test
+
+
+def _least(keyed: DataFrame, order: str, key: str, k: int) -> Column:
+    """A condition that holds for the k least rows by (order, key), ``order`` a text of hexadecimal digits.
+
+    Rows are counted by their first four digits (65,536 counts at most); only those of the one count in which the
+    border falls are sorted.
+    """
+    if k <= 0:
+        return F.lit(False)
+    counts = sorted(keyed.groupBy(F.left(order, F.lit(4)).alias("head")).count().collect())
+    before, head, size = 0, "", 0
+    for r in counts:
+        head, size = r["head"], r["count"]
+        if before + size >= k:
+            break
+        before += size
+    else:
+        return F.lit(True)
+    if before + size == k:
+        return F.left(order, F.lit(4)) <= head
+    inside = keyed.where(F.left(order, F.lit(4)) == head).select(order, key).orderBy(order, key).limit(k - before)
+    last = inside.agg(F.max(F.struct(order, key)).alias("m")).first()["m"]
+    return (F.col(order) < last[order]) | ((F.col(order) == last[order]) & (F.col(key) <= last[key]))
+
+
+def group_split(rows: DataFrame, group: str, shares: tuple[float, float, float] = (0.7, 0.2, 0.1), seed: int = 42) -> DataFrame:
+    """(group, split): groups dealt to train, valid and test in exactly the numbers of ``split_sizes``.
+
+    Two steps, each with a seeded order of its own: the least groups of the first go to test, the least of the others
+    by the second go to valid. Groups go by their text; a null group is left out.
+    """
+    text = F.col(group).cast("string")
+    order = lambda n: F.md5(F.concat(F.lit(f"{n}/"), text).cast("binary"))
+    groups = rows.select(group).where(F.col(group).isNotNull()).distinct().select(group, order(seed).alias("gs_first"), order(seed + 1).alias("gs_second"), text.alias("gs_key"))
+    _, valid, test = split_sizes(groups.count(), shares)
+    tested = _least(groups, "gs_first", "gs_key", test)
+    valued = _least(groups.where(~tested), "gs_second", "gs_key", valid)
+    return groups.select(group, F.when(tested, "test").when(valued, "valid").otherwise("train").alias("split"))
+
+
 def leaks(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Groups that stand in more than one split, with rows on each side."""
     return rows.groupBy(group).agg(F.count_if(F.col(split) == "train").alias("train"), F.count_if(F.col(split) == "valid").alias("valid")).where("train > 0 and valid > 0")

@@ -125,3 +125,29 @@ def test_sizes_and_sets(spark):
     cells = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (2, 1, 4), (2, 0, 4)], "actual int, predicted int, n long")
     assert tuple(metrics.confusion_rate(cells, 2).first()) == (1, 4, 0.25) and tuple(metrics.false_positive_rate(cells, 1, 2).first()) == (4, 8, 0.5)
     assert {tuple(r) for r in metrics.class_accuracy(cells, 2).collect()} == {(0, 0.75)} and tuple(metrics.confusion_rate(cells.limit(0), 2).first()) == (0, 0, 0.0)
+
+
+def test_split_by_exact_numbers_of_groups(spark):
+    import hashlib
+    import math
+
+    from tessera.operators import splits
+
+    def sizes(n):
+        test = min(math.ceil(0.1 * n), max(0, n - 1))
+        valid = min(math.ceil(0.2 / (0.7 + 0.2) * (n - test)), max(0, n - test - 1))
+        return n - test - valid, valid, test
+
+    assert [splits.split_sizes(n) for n in range(400)] == [sizes(n) for n in range(400)]
+    assert [splits.split_sizes(n) for n in (0, 1, 2, 3, 20)] == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1), (14, 4, 2)]
+    for n in (0, 1, 2, 3, 57):
+        rows = spark.createDataFrame([(f"g{k % n}", k) for k in range(3 * n)] + [(None, 0)], "g string, k int")
+        got = {r["g"]: r["split"] for r in splits.group_split(rows, "g").collect()}
+        order = lambda seed, names: sorted(names, key=lambda g: hashlib.md5(f"{seed}/{g}".encode()).hexdigest())
+        names = [f"g{k}" for k in range(n)]
+        test = order(42, names)[: sizes(n)[2]]
+        valid = order(43, [g for g in names if g not in test])[: sizes(n)[1]]
+        assert got == {g: "test" if g in test else "valid" if g in valid else "train" for g in names}
+    many = spark.range(300_000).selectExpr("id AS g")
+    counts = {r["split"]: r["count"] for r in splits.group_split(many, "g").groupBy("split").count().collect()}
+    assert counts == dict(zip(("train", "valid", "test"), sizes(300_000)))
