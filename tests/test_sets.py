@@ -139,7 +139,7 @@ def test_split_by_exact_numbers_of_groups(spark):
         return n - test - valid, valid, test
 
     assert [splits.split_sizes(n) for n in range(400)] == [sizes(n) for n in range(400)]
-    assert [splits.split_sizes(n) for n in (0, 1, 2, 3, 20)] == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1), (14, 4, 2)]
+    assert [splits.split_sizes(n) for n in (0, 1, 2, 3)] == [(0, 0, 0), (1, 0, 0), (1, 0, 1), (1, 1, 1)]
     for n in (0, 1, 2, 3, 57):
         rows = spark.createDataFrame([(f"g{k % n}", k) for k in range(3 * n)] + [(None, 0)], "g string, k int")
         got = {r["g"]: r["split"] for r in splits.group_split(rows, "g").collect()}
