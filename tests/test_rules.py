@@ -127,6 +127,20 @@ def test_fuzzy_pairs_are_all_pairs(spark):
         assert most < 0.3 or ("é일b語xyzw", "일b語xyzw") in want or ("일b語xyzw", "é일b語xyzw") in want
 
 
+def test_fuzzy_pairs_query_takes_every_name(spark, tmp_path):
+    import itertools
+
+    from tessera import catalogue_records as Q
+
+    names = ["blue anvil", "glue anvil", "old anvil", "old anvils", "cold plate", "Bold plate", "nut"]
+    rows = spark.createDataFrame([(n, "Brand#1") for n in [*names, "nut"]], "p_name string, p_brand string")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    want = {tuple(sorted(p)) for p in itertools.combinations(names, 2) if edit_distance(*p) / max(map(len, p)) <= 0.3}
+    assert ("blue anvil", "glue anvil") in want  # first letters differ
+    got = Q.fuzzy_pairs(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_folds_fill_the_smallest_first(spark):
     import random
 
