@@ -177,7 +177,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trim() -> None:
-    """Give back what earlier tasks of this worker have freed: workers live on, and the allocators would keep each one's peak."""
+    """Give back what tasks of this worker have freed, before and after each: workers live on, and the allocators would keep each one's peak."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not glibc
         ctypes.CDLL(None).malloc_trim(0)
@@ -196,6 +196,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], name: str = "text", most: int
             end = min(max(end, row + 1), row + BLOCK_ROWS, batch.num_rows)
             yield batch.slice(row, end - row), data[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+    batch = data = at = None
+    trim()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -211,8 +213,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
         if len(cut) > 1:
             yield rows.slice(0, int(cut[-1])), cut
         rest = rows.slice(int(cut[-1]))
+    batch = rows = keys = None
     if rest is not None:
         yield rest, np.array([0, len(rest)])
+    rest = None
+    trim()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

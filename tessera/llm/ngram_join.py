@@ -41,6 +41,8 @@ WEIGHT = 1 << 21
 ENVOYS = 16
 #: Entries that a task looks at together for keys that many of them have; digests it remembers.
 WINDOW, MEMORY = 1 << 18, 1 << 18
+#: Buckets of entries for each partition: a window's entries travel as one row of arrays for each bucket.
+BUCKETS = 64
 #: Different sets with one 64-bit digest that are told apart, at most (at 10^10 sets about three are expected).
 CLASHES = 10_000
 
@@ -114,8 +116,8 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _entries(words: int, num: int, den: int, bits: int, odd: dict):
-    """Directory entries of each distinct set that a task sees: (key, salt, digest, spare).
+def _entries(words: int, num: int, den: int, bits: int, odd: dict, buckets: int):
+    """Directory entries of each distinct set that a task sees: arrays (key, salt, digest, spare) for each bucket.
 
     A linked pair has more equal blocks than the slack. So a set need not be filed under its empty or common
     blocks while they are no more than that; ``spare``: how many common ones it may leave out (times 2, plus 1 in
@@ -130,7 +132,12 @@ def _entries(words: int, num: int, den: int, bits: int, odd: dict):
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         rank = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
         salt = np.where(rank > COMMON, 1 + digest % 64, 0).astype(np.int32)
-        return pa.record_batch({"key": pa.array(key), "salt": pa.array(salt), "digest": pa.array(digest), "spare": pa.array(spare)})
+        bucket = (C.mix(key.view(np.uint64) + salt.astype(np.uint64), 7) % U(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        many = np.bincount(bucket, minlength=buckets)
+        used = np.flatnonzero(many)
+        lists = ((key, pa.int64()), (salt, pa.int32()), (digest, pa.int64()), (spare, pa.int32()))
+        return pa.record_batch([pa.array(used, pa.int32()), *(C.list_column(x[order], many[used], kind) for x, kind in lists)], ["bucket", "key", "salt", "digest", "spare"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limits, seen = Limits(num, den), set()
@@ -175,13 +182,22 @@ def _entries(words: int, num: int, den: int, bits: int, odd: dict):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by key, salt and digest: those that hold two sets or more.
+    """Of entries by bucket: those that hold two sets or more.
 
     An entry's key then is the hash of its sets, so that entries with the same sets are one (``times``: of how many);
     a common entry's, which sets may leave, stays its own.
     """
-    for rows, cut in C.whole_groups(batches, ["key", "salt"]):
-        key, salt, digest, spare = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "salt", "digest", "spare"))
+    for rows, _ in C.whole_groups(batches, ["bucket"]):
+        key, salt, digest, spare = (np.concatenate([np.asarray(x.flatten()) for x in rows.column(c).chunks]) for c in ("key", "salt", "digest", "spare"))
+        place = key + salt  # most entries hold one set, and go before the rest is put in order
+        order = np.argsort(place)
+        same = np.concatenate([[False], place[order][1:] == place[order][:-1], [False]])
+        some = order[same[1:] | same[:-1]]
+        some = some[np.lexsort((digest[some], salt[some], key[some]))]
+        if not len(some):
+            continue
+        key, salt, digest, spare = key[some], salt[some], digest[some], spare[some]
+        cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1, [len(key)]])
         once = np.concatenate([[True], digest[1:] != digest[:-1]])
         once[cut[:-1]] = True
         entry = np.repeat(np.arange(len(cut) - 1), np.diff(cut))[once]
@@ -512,8 +528,8 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, counted: bool, bits
         table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in odd.items()], "c long, m long, other long"))
         points = points.join(table, (F.col("digest") == F.col("c")) & (F.col("more") == F.col("m")), "left").withColumn("digest", F.coalesce("other", "digest")).drop("c", "m", "other")
         firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"))
-    entries = docs.select("text").mapInArrow(_entries(words, num, den, bits, odd), "key long, salt int, digest long, spare int")
-    entries = entries.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt", "digest").mapInArrow(_shared, "key long, digest long, spare int, common boolean, times int")
+    entries = docs.select("text").mapInArrow(_entries(words, num, den, bits, odd, BUCKETS * parts), "bucket int, key array<long>, salt array<int>, digest array<long>, spare array<int>")
+    entries = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, digest long, spare int, common boolean, times int")
     entries = materialize(entries.withColumn("band", F.col("spare").bitwiseAND(1)), "entries")
     # A linked pair has more equal blocks than the slack, so a set with fewer shared entries has no link in that band.
     able = entries.groupBy("digest", "band").agg(F.sum("times").alias("shared"), F.min("spare").alias("least")).where(F.col("shared") > F.shiftright("least", 1))

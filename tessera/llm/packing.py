@@ -145,6 +145,7 @@ def _pieces(files: tuple[str, str | None] | None, size: int, end_id: int):
         C.trim()
         where = files or default_files()
         tokens = _loaded.get(where) or _loaded.setdefault(where, Tokens(*where))
+        C.trim()
         for batch in batches:
             text, ids_of = batch.column(batch.schema.get_field_index("text")), batch.column(0)
             source, piece, start, length, crc = [], [], [], [], []
@@ -160,6 +161,8 @@ def _pieces(files: tuple[str, str | None] | None, size: int, end_id: int):
                 "doc_id": ids_of.take(pa.array(source, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
                 "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
             })
+        batch = text = ids_of = None
+        C.trim()
 
     return run
 

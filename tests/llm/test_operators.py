@@ -127,6 +127,31 @@ def test_joining_up_tiles_loses_no_link(spark, weight):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, w[1]) for i, w in want.items()}
 
 
+def test_entries_travel_as_arrays_by_bucket(monkeypatch):
+    """Every entry of a key and salt is in one bucket, and those that hold two sets are found."""
+    import pyarrow as pa
+
+    from tessera.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "WINDOW", 1 << 10)
+    monkeypatch.setattr(J, "COMMON", 2)
+    some = pa.record_batch({"text": pa.array([t or "" for t in texts()] + ["a b c d e f g h i j k l " + str(i) for i in range(9)])})
+    sent = [b for part in (some.slice(0, 70), some.slice(70)) for b in J._entries(3, 4, 5, 64, {}, 16)(iter([part]))]
+    by_key, where, n = defaultdict(set), defaultdict(set), 0
+    for r in pa.Table.from_batches(sent).to_pylist():
+        for key, salt, digest, _ in zip(r["key"], r["salt"], r["digest"], r["spare"], strict=True):
+            by_key[key, salt].add(digest)
+            where[key, salt].add(r["bucket"])
+            n += 1
+    assert n > 10 * sum(b.num_rows for b in sent) and {len(b) for b in where.values()} == {1}
+    table = pa.Table.from_batches(sent).sort_by("bucket")
+    for size in (7, 1000):
+        found = pa.Table.from_batches(list(J._shared(iter(table.to_batches(max_chunksize=size)))))
+        assert set(found["digest"].to_pylist()) == {d for ds in by_key.values() if len(ds) > 1 for d in ds}
+        common = {r["key"] for r in found.to_pylist() if r["common"]}
+        assert common == {k for (k, s), ds in by_key.items() if len(ds) > 1 and (len(ds) > 2 or s)}
+
+
 def test_crowded_entries_are_candidates(spark, monkeypatch):
     from tessera.llm import ngram_join as J
 
