@@ -41,8 +41,8 @@ WEIGHT = 1 << 21
 ENVOYS = 16
 #: Entries that a task looks at together for keys that many of them have; digests it remembers.
 WINDOW, MEMORY = 1 << 18, 1 << 18
-#: Buckets of entries for each partition: a window's entries travel as one row of arrays for each bucket.
-BUCKETS = 64
+#: Shingles for each bucket of entries, about; a window's entries travel as one row of arrays for each bucket.
+BUCKET = 1 << 20
 #: Different sets with one 64-bit digest that are told apart, at most (at 10^10 sets about three are expected).
 CLASHES = 10_000
 
@@ -116,6 +116,15 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _buckets(parts: int, shingles: int) -> int:
+    """Buckets that bound what a task holds at once: as many for each partition, and no more than the shingles need.
+
+    Rows of entries are at most windows x buckets (and entries), so buckets that held few entries would give a row to
+    nearly each entry.
+    """
+    return parts * max(1, -(-shingles // (BUCKET * parts)))
+
+
 def _entries(words: int, num: int, den: int, bits: int, odd: dict, buckets: int):
     """Directory entries of each distinct set that a task sees: arrays (key, salt, digest, spare) for each bucket.
 
@@ -523,13 +532,14 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, counted: bool, bits
     points = materialize(points, "points")
     firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"), F.min("more").alias("more"), F.max("more").alias("most"))
     firsts = materialize(firsts, "firsts")
+    shingles = firsts.agg(F.sum(F.col("n") * F.col("times"))).first()[0] or 0
     odd = _clashes(points, firsts)
     if odd:
         table = F.broadcast(spark.createDataFrame([(*k, v) for k, v in odd.items()], "c long, m long, other long"))
         points = points.join(table, (F.col("digest") == F.col("c")) & (F.col("more") == F.col("m")), "left").withColumn("digest", F.coalesce("other", "digest")).drop("c", "m", "other")
         firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"))
-    entries = docs.select("text").mapInArrow(_entries(words, num, den, bits, odd, BUCKETS * parts), "bucket int, key array<long>, salt array<int>, digest array<long>, spare array<int>")
-    entries = entries.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, digest long, spare int, common boolean, times int")
+    entries = docs.select("text").mapInArrow(_entries(words, num, den, bits, odd, _buckets(parts, shingles)), "bucket int, key array<long>, salt array<int>, digest array<long>, spare array<int>")
+    entries = entries.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, digest long, spare int, common boolean, times int")
     entries = materialize(entries.withColumn("band", F.col("spare").bitwiseAND(1)), "entries")
     # A linked pair has more equal blocks than the slack, so a set with fewer shared entries has no link in that band.
     able = entries.groupBy("digest", "band").agg(F.sum("times").alias("shared"), F.min("spare").alias("least")).where(F.col("shared") > F.shiftright("least", 1))

@@ -152,6 +152,29 @@ def test_entries_travel_as_arrays_by_bucket(monkeypatch):
         assert common == {k for (k, s), ds in by_key.items() if len(ds) > 1 and (len(ds) > 2 or s)}
 
 
+@pytest.mark.parametrize(("bucket", "many"), [(1 << 20, 12), (128, 84)])
+def test_entries_of_many_partitions_share_rows(spark, monkeypatch, bucket, many):
+    """On many partitions a task's entries still travel in a row for each bucket, and buckets follow the shingles."""
+    from tessera.llm import ngram_join as J
+
+    asked, entries = [], J._entries
+    monkeypatch.setattr(J, "BUCKET", bucket, raising=False)  # read on the driver
+    monkeypatch.setattr(J, "_entries", lambda *a: asked.append(a) or entries(*a))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        rows = near_group(80, 6)
+        want = linked_by_brute_force(rows, 5, 4, 5)
+        got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5).collect()
+        assert {(r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got} == {(i, *w) for i, w in want.items()}
+        docs = spark.createDataFrame(rows, "doc_id long, text string").select("text").repartition(3)
+        sent = docs.mapInArrow(entries(*asked[0]), "bucket int, key array<long>, salt array<int>, digest array<long>, spare array<int>").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert [a[-1] for a in asked] == [many]
+    assert 0 < len(sent) <= 3 * many and sum(len(r["key"]) for r in sent) > 10 * len(sent)
+
+
 def test_crowded_entries_are_candidates(spark, monkeypatch):
     from tessera.llm import ngram_join as J
 
