@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common as C
@@ -193,8 +193,8 @@ def _entries(words: int, num: int, den: int, bits: int, odd: dict, buckets: int)
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of entries by bucket: those that hold two sets or more.
 
-    An entry's key then is the hash of its sets, so that entries with the same sets are one (``times``: of how many);
-    a common entry's, which sets may leave, stays its own.
+    An entry's key then is the hash of its sets, so that entries with the same sets are one (``times``: of how many,
+    ``often``: of how many sets); a common entry's, which may be in several buckets, stays its own.
     """
     for rows, _ in C.whole_groups(batches, ["bucket"]):
         key, salt, digest, spare = (np.concatenate([np.asarray(x.flatten()) for x in rows.column(c).chunks]) for c in ("key", "salt", "digest", "spare"))
@@ -221,7 +221,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = (times > 0)[entry]
         yield pa.record_batch({
             "key": pa.array(np.where(common[entry], key, alike[entry])[keep]), "digest": pa.array(digest[keep]), "spare": pa.array(spare[keep]),
-            "common": pa.array(common[entry][keep]), "times": pa.array(times[entry][keep]),
+            "common": pa.array(common[entry][keep]), "times": pa.array(times[entry][keep]), "often": pa.array(count[entry][keep]),
         })
 
 
@@ -269,7 +269,17 @@ class RTree:
 
 def reaches(limits: Limits, top: np.ndarray, low: np.ndarray, beyond: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the summed coordinate minima of pairs reach the overlap that sets of these sizes need."""
-    return np.minimum(top[x], top[y]).sum(axis=1, dtype=np.int64) + np.minimum(beyond[x], beyond[y]) >= limits.need(low[x], low[y])
+    return row_sums(np.minimum(top[x], top[y])) + np.minimum(beyond[x], beyond[y]) >= limits.need(low[x], low[y])
+
+
+def row_sums(rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of a table of bytes; 256 bytes are added in four lanes of 16 bits (65280 at most in all)."""
+    if rows.shape[1] % GROUPS:
+        return rows.sum(axis=1, dtype=np.int64)
+    lanes = np.ascontiguousarray(rows).view(np.uint64)
+    low = U(0x00FF00FF00FF00FF)
+    lanes = ((lanes & low) + ((lanes >> U(8)) & low)).reshape(len(rows), -1, GROUPS // 8).sum(axis=2)
+    return ((lanes * U(0x0001000100010001)) >> U(48)).sum(axis=1).astype(np.int64)
 
 
 def leaf_pairs(cut: np.ndarray, limits: Limits, top: np.ndarray, low: np.ndarray, beyond: np.ndarray, chunk: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -506,6 +516,47 @@ def _links(sets: DataFrame, num: int, den: int, counted: bool, weight: int) -> t
     return found.unionByName(_dealt(left.unionByName(right), num, den, False, items).select("u", "v")), found.limit(0)
 
 
+def _apart(sets: DataFrame, num: int, den: int, weight: int) -> DataFrame:
+    """Sets (cluster, tiles, tile, digest, times, n, items) with clusters of several tasks taken apart by their rarest shingles.
+
+    A set with n shingles has num / den of them at least in common with a linked one. So, in one order of all
+    shingles, by how many sets have them, the first of the shingles that two linked sets share is among the first
+    n - num / den * n + 1 of either. Sets that share such a shingle stay together; those that share none with any other
+    have no link and go. What entries of over TILE sets joined without a bound is not compared all with all then.
+    """
+    large = sets.where("tiles > 1")
+    if large.isEmpty():
+        return sets
+    items = large.select("digest", "n", F.explode("items").alias("item"))
+    often = materialize(items.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    own = Window.partitionBy("digest")
+    rare = items.join(often, "item").withColumn("place", F.row_number().over(own.orderBy("often", "item")) + F.col("n") - F.count(F.lit(1)).over(own))
+    rare = materialize(rare.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("item", "digest"), "rare")
+    least = materialize(rare.groupBy("item").agg(F.min("digest").alias("least"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"), "least")
+    labels = components(rare.join(least, "item").select(F.col("least").alias("u"), F.col("digest").alias("v")))
+    discard(often, rare, least)
+    clusters = labels.select(F.col("node").alias("digest"), F.col("label").alias("cluster")).join(large.select("digest", "n"), "digest")
+    clusters = _tiled(clusters, weight, "tile").select("digest", "cluster", "tiles", "tile")
+    parted = large.drop("cluster", "tiles", "tile").join(clusters, "digest").select(*sets.columns)
+    parted = materialize(sets.where("tiles = 1").unionByName(parted), "parted")
+    discard(sets)
+    return parted
+
+
+def _rarest(entries: DataFrame) -> DataFrame:
+    """Of entries (key, digest, band, spare, common, times, often): those that a set has to stay filed under.
+
+    In one order of all entries, by how many sets they hold, each set leaves the last ones, as many as it may. A linked
+    pair has more in common than either may leave, so the first that it has in common is left by neither. An entry
+    that stands for several (``times``) is left as a whole or not.
+    """
+    common = entries.where("common").drop("often")
+    often = common.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    placed = entries.where("not common").unionByName(common.join(often, "key"))
+    later = Window.partitionBy("digest", "band").orderBy(F.desc("often"), F.desc("key")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("later", F.sum("times").over(later)).where(F.col("later") > F.shiftright("spare", 1))
+
+
 def ngram_join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, digest_bits: int = 64, weight: int = WEIGHT) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of at least num / den.
 
@@ -539,33 +590,28 @@ def _joined(docs: DataFrame, words: int, num: int, den: int, counted: bool, bits
         points = points.join(table, (F.col("digest") == F.col("c")) & (F.col("more") == F.col("m")), "left").withColumn("digest", F.coalesce("other", "digest")).drop("c", "m", "other")
         firsts = points.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("times"))
     entries = docs.select("text").mapInArrow(_entries(words, num, den, bits, odd, _buckets(parts, shingles)), "bucket int, key array<long>, salt array<int>, digest array<long>, spare array<int>")
-    entries = entries.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, digest long, spare int, common boolean, times int")
+    entries = entries.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "key long, digest long, spare int, common boolean, times int, often long")
     entries = materialize(entries.withColumn("band", F.col("spare").bitwiseAND(1)), "entries")
     # A linked pair has more equal blocks than the slack, so a set with fewer shared entries has no link in that band.
     able = entries.groupBy("digest", "band").agg(F.sum("times").alias("shared"), F.min("spare").alias("least")).where(F.col("shared") > F.shiftright("least", 1))
     every, entries = entries, materialize(entries.join(able.select("digest", "band"), ["digest", "band"], "left_semi"), "able")
     discard(every)
-    common = entries.where("common")
-    # Sets with more common blocks than they may leave out stay filed under them.
-    full = common.groupBy("digest", "band").agg(F.countDistinct("key").alias("keys"), F.min("spare").alias("least"))
-    full = full.where(F.col("keys") > F.shiftright("least", 1)).select("digest", "band")
-    common = materialize(common.join(full, ["digest", "band"], "left_semi").select("key", "digest").distinct(), "common")
-    crowds = materialize(common.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least")).where(F.col("n") > TILE), "crowds")
-    filed = entries.where("not common").select("key", "digest").distinct().unionByName(common.join(crowds, "key", "left_anti"))
-    filed = materialize(filed, "filed")
+    stored = materialize(_rarest(entries).select("key", "digest", "common").distinct(), "filed")
+    crowds = materialize(stored.where("common").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least")).where(F.col("n") > TILE), "crowds")
+    common, filed = stored.where("common").select("key", "digest"), stored.select("key", "digest").join(crowds, "key", "left_anti")
     known = points.where("digest is not null").groupBy("digest").agg(F.min("n").alias("n"), F.min("point").alias("point"))
     known = known.join(filed.select("digest").distinct(), "digest", "left_semi")
     rows = filed.join(known, "digest").select("key", "digest", "n", "point").repartition(parts, "key").sortWithinPartitions("key")
     pairs = rows.mapInArrow(_candidates(num, den), "u long, v long")
     pairs = materialize(pairs.unionByName(common.join(crowds, "key").select(F.col("least").alias("u"), F.col("digest").alias("v"))).distinct(), "pairs")
     clusters = components(pairs)
-    discard(entries, common, crowds, filed, pairs)
+    discard(entries, crowds, stored, pairs)
     wanted = clusters.join(firsts.select("digest", "doc_id", "times", "n"), F.col("node") == F.col("digest")).select(F.col("label").alias("cluster"), "digest", "times", "doc_id", "n")
     wanted = materialize(_tiled(wanted, weight, "tile"), "wanted")
     near = C.sieve(wanted.select(F.xxhash64("doc_id")))
     sets = docs.where(near(F.xxhash64("doc_id"))).mapInArrow(_sets(words, bits, odd), "digest long, items array<long>")
     sets = sets.join(wanted.drop("doc_id"), "digest").dropDuplicates(["digest"])
-    sets = materialize(sets, "sets")
+    sets = _apart(materialize(sets, "sets"), num, den, weight)
     forest, many = _links(sets, num, den, counted, weight)
     labels = components(forest)
     nodes = firsts.select("digest", "doc_id", "times").join(labels, F.col("digest") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest"))

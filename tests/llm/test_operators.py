@@ -185,6 +185,34 @@ def test_crowded_entries_are_candidates(spark, monkeypatch):
     assert {(r.doc_id, r.component_id, r.n_links) for r in got} == {(i, *w[1:]) for i, w in want.items()}
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_a_common_passage_is_not_compared_all_with_all(spark, monkeypatch, counted):
+    """Of sets that only a passage joins (their entries are crowded) those that are linked meet, and no others."""
+    from tessera.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "TILE", 40)  # read on the driver
+    met, dealt = [], J._dealt
+    monkeypatch.setattr(J, "_dealt", lambda plan, *a: met.append({r["digest"] for r in plan.select("digest").collect()}) or dealt(plan, *a))
+    r = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(200))
+    rows = [(i, f"{passage} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(120))) for i in range(90)]
+    rows += [(100 + i, f"{rows[i][1]} more{i}") for i in range(5)]
+    want = linked_by_brute_force(rows, 5, 4, 5)
+    got = J._joined(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5, counted, weight=4000).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(i, w[1]) for i, w in want.items()}
+    assert not counted or {(x.doc_id, x.n_links) for x in got} == {(i, w[2]) for i, w in want.items()}
+    assert len(set().union(*met)) == 10
+
+
+def test_sums_of_bytes():
+    from tessera.llm import ngram_join as J
+
+    r = np.random.Generator(np.random.PCG64(6))
+    for width in (64, 256, 1024):
+        rows = np.concatenate([r.integers(0, 256, (9, width)), np.full((1, width), 255)]).astype(np.uint8)
+        assert (J.row_sums(rows) == rows.sum(axis=1, dtype=np.int64)).all()
+
+
 def test_bound_never_loses_a_link():
     from tessera.llm import ngram_join as J
 
